@@ -6,6 +6,9 @@ on *inverted lists*: of a set with n elements, any partner holds one of the firs
 order, so only these are posted, and the lists are scanned. The boundary is where, by `list_cost`, posting and
 scanning becomes cheaper than enumerating; sets just below it are posted as well, so that pairs across it meet.
 
+Before two texts are compared, so are their parity sketches: as many bits as differ, as many elements at least
+does the one set hold that the other doesn't, so pairs with too many are out.
+
 The common order puts shingles that many documents of some block repeat last. It only decides how long the
 lists get: any order gives every link.
 
@@ -29,8 +32,12 @@ from vecspark.llm.components import connected_components
 from vecspark.llm.shared import written
 from vecspark.llm.tokens import Words, blocks, longs, mixed, ragged, rolled, texts
 
-#: Entries of the table of common shingles, the only thing broadcast: at most 65,536 pairs of longs, 1 MB.
-COMMON_LIMIT = 65_536
+#: Entries of the table of common shingles, which is broadcast: at most 262,144 longs and ranks, 4 MB.
+COMMON_LIMIT = 262_144
+#: Document ids that are broadcast at most (16 MB) to fetch texts to compare; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+#: Bits of a parity sketch at most; a larger set's is only less telling.
+SKETCH_BITS = 1 << 16
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -74,10 +81,23 @@ def shingle_set(text: bytes, k: int) -> frozenset:
     return frozenset(zip(*(words[j:] for j in range(k)), strict=False))
 
 
+def parity_sketch(elements: np.ndarray) -> bytes:
+    """Bit i is the parity of the elements hashed to i; about four bits an element."""
+    bits = min(SKETCH_BITS, 1 << max(6, int(4 * len(elements) - 1).bit_length()))
+    at = mixed(elements + np.uint64(1)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """A lower bound of the size of the symmetric difference; the longer sketch is folded."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0) ^ a).sum())
+
+
 def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles that some block of texts repeats across at least 8 documents, most frequent last.
+    """Shingles that some block of texts repeats across documents, most frequent last.
 
-    Of one block there are at most an eighth as many as it has shingles; the table keeps the COMMON_LIMIT most
+    Each block sends those that it holds twice or more, with counts; the table keeps the COMMON_LIMIT most
     frequent ones, as it only orders.
     """
 
@@ -86,7 +106,7 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
             for block in blocks(batch):
                 found = shingle_hashes(Words(texts(block), lower=True), k)
                 values, counts = np.unique(np.concatenate(found), return_counts=True)
-                often = counts >= 8
+                often = counts >= 2
                 if often.any():
                     yield pa.RecordBatch.from_arrays([longs(values[often]), pa.array(counts[often])], names=["h", "c"])
 
@@ -96,7 +116,8 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, list_cost: int) -> DataFrame:
-    """(doc_id, n, s1, s2, keys): the set's size, its 128-bit hash and the keys under which it meets others."""
+    """(doc_id, n, s1, s2, keys, sketch): the set's size, its 128-bit hash, the keys under which it meets others
+    and its parity sketch."""
     common = common_shingles(docs, k)
     by_hash = np.argsort(common)
     shared = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))
@@ -137,17 +158,36 @@ def signatures(docs: DataFrame, k: int, percent: int, list_cost: int) -> DataFra
                         longs(pair[:, 0]),
                         longs(pair[:, 1]),
                         ragged([keys(s) for s in sets]),
+                        pa.array([parity_sketch(s) for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n", "s1", "s2", "keys"],
+                    names=["doc_id", "n", "s1", "s2", "keys", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, keys array<long>, sketch binary")
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sketches don't rule the similarity out."""
+    rows = pairs.join(nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(
+        nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b"
+    )
+
+    def check(batches):
+        for batch in batches:
+            most = (100 - percent) * (np.asarray(batch.column("na")) + np.asarray(batch.column("nb")))
+            far = map(sketch_distance, batch.column("sa").to_pylist(), batch.column("sb").to_pylist())
+            keep = np.fromiter(far, np.int64, batch.num_rows) * (100 + percent) <= most
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return rows.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(check, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose texts are similar enough, by the shingles themselves."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    held = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    held = docs.join(wanted, "doc_id", "left_semi").repartition("doc_id")
     rows = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(
         held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"
     )
@@ -182,8 +222,8 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, list_cost: in
         signed.where("n > 0 and doc_id is not null")
         .join(reps, ["s1", "s2"])
         .where("doc_id = rep")
-        .select("doc_id", "n", "keys")
         .dropDuplicates(["doc_id", "n"])
+        .select("doc_id", "n", "keys", "sketch")
     )
     posted = nodes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
     met = posted.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1").select("key", "hub")
@@ -198,7 +238,8 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, list_cost: in
         .distinct()
     )
     star = written(star, "pairs")
-    links = written(verified(star, docs, k, percent), "links")
+    sketched = nodes.select("doc_id", "n", "sketch")
+    links = written(verified(written(plausible(star, sketched, percent), "pairs"), docs, k, percent), "links")
     groups = connected_components(links)
 
     held = lists.join(groups, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
@@ -213,7 +254,7 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, list_cost: in
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    more = written(verified(written(rest, "pairs"), docs, k, percent), "links")
+    more = written(verified(written(plausible(rest, sketched, percent), "pairs"), docs, k, percent), "links")
     if not more.isEmpty():
         groups = connected_components(links.union(more))
 
