@@ -43,3 +43,21 @@ def test_empty_table(spark):
 
 def test_boundary_follows_cost():
     assert boundary(90, 16) == 19 and boundary(90, 0) == 0 and boundary(80, 16) >= 9
+
+
+def test_heavy_lists_in_chunks(spark, monkeypatch):
+    """Many copies with edits, so that lists are long and links irregular."""
+    import vecspark.llm.jaccard_join as join
+
+    monkeypatch.setattr(join, "LIGHT_LIST", 3)
+    monkeypatch.setattr(join, "CHUNK", 16)
+    rng, rows = random.Random(9), []
+    for base in range(3):
+        w = [f"b{base}w{i}" for i in range(80 + 20 * base)]
+        for _ in range(60):
+            v = list(w)
+            for _ in range(rng.randrange(1, 4)):
+                v[rng.randrange(len(v))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(v[: rng.randrange(len(v) - 5, len(v))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(similar_groups(docs, 3, 90)) == brute.jaccard_groups(rows, 3, 90)

@@ -15,6 +15,8 @@ lists get: any order gives every link.
 What is asked for is which documents hang together, so within a list only pairs that can still join two groups
 are checked: first each member against the list's smallest document, then, where members of one list lie in
 different components, every pair across these. Links between documents that already hang together add nothing.
+Of a light list these pairs become rows. A heavy one is cut into chunks, and each two chunks meet in one task that
+compares the sketches in memory and returns the few pairs left, so no list makes rows as its square.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from vecspark.llm.tokens import Words, blocks, longs, mixed, ragged, rolled, tex
 COMMON_LIMIT = 262_144
 #: Document ids that are broadcast at most (16 MB) to fetch texts to compare; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Members up to which a list's pairs become rows, and members of a chunk of a longer list.
+LIGHT_LIST, CHUNK = 32, 1024
 #: Bits of a parity sketch at most; a larger set's is only less telling.
 SKETCH_BITS = 1 << 16
 
@@ -182,6 +186,41 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(check, "a long, b long").distinct()
 
 
+def heavy_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Plausible pairs (a, b) across components of lists(key, id, n, component, c), c being the list's length."""
+    chunks = F.ceil(F.col("c") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("id"), chunks).cast("int")
+    cells = (
+        lists.join(nodes.select(F.col("doc_id").alias("id"), "sketch"), "id")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "component", "sketch")
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, n, comp, own = (np.asarray(table.column(x)) for x in ("id", "n", "component", "own"))
+        sketch = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
+        size = np.array([len(x) for x in sketch])
+        same = table.column("lo")[0] == table.column("hi")[0]
+        a, b = [], []
+        for width in np.unique(size):  # each pair is met once, at the width of its shorter sketch
+            wide = np.flatnonzero(size >= width)
+            folded = np.array([np.bitwise_xor.reduce(sketch[x].reshape(-1, width), axis=0) for x in wide])
+            for x in np.flatnonzero(size == width):
+                ok = (comp[wide] != comp[x]) & (100 * np.minimum(n[wide], n[x]) >= percent * np.maximum(n[wide], n[x]))
+                ok &= (size[wide] > width) | (ids[wide] > ids[x])
+                if not same:
+                    ok &= own[wide] != own[x]
+                left = np.flatnonzero(ok)
+                far = np.bitwise_count(folded[left] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+                left = left[far * (100 + percent) <= (100 - percent) * (n[wide[left]] + n[x])]
+                a.append(np.minimum(ids[wide[left]], ids[x]))
+                b.append(np.maximum(ids[wide[left]], ids[x]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return cells.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose texts are similar enough, by the shingles themselves."""
     wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
@@ -226,35 +265,34 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, list_cost: in
         .select("doc_id", "n", "keys", "sketch")
     )
     posted = nodes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
-    met = posted.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1").select("key", "hub")
-    lists = written(posted.join(met, "key"), "lists")
+    met = posted.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("hub")).where("c > 1")
+    lists = written(posted.join(met.select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m")), "key"), "lists")
 
     fits = f"100 * least(n, m) >= {int(percent)} * greatest(n, m)"
-    star = (
-        lists.where("id != hub").select("hub", "id", "n")
-        .join(lists.where("id = hub").select("hub", F.col("n").alias("m")).distinct(), "hub")
-        .where(fits)
-        .select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        .distinct()
-    )
+    star = lists.where("id != hub").where(fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     star = written(star, "pairs")
     sketched = nodes.select("doc_id", "n", "sketch")
     links = written(verified(written(plausible(star, sketched, percent), "pairs"), docs, k, percent), "links")
     groups = connected_components(links)
 
     held = lists.join(groups, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    open_keys = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_lists = held.join(open_keys, "key")
-    rest = (
-        open_lists.select("key", F.col("id").alias("a"), "n", F.col("component").alias("ca"))
-        .join(open_lists.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb")), "key")
+    open_keys = (
+        held.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key", "c")
+    )
+    open_lists = written(held.join(open_keys, "key"), "lists")
+    light = open_lists.where(F.col("c") <= LIGHT_LIST)
+    across = (
+        light.select("key", F.col("id").alias("a"), "n", F.col("component").alias("ca"))
+        .join(light.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb")), "key")
         .where("ca < cb")
         .where(fits)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    more = written(verified(written(plausible(rest, sketched, percent), "pairs"), docs, k, percent), "links")
+    heavy = heavy_pairs(open_lists.where(F.col("c") > LIGHT_LIST), sketched, percent)
+    rest = plausible(across, sketched, percent).union(heavy).distinct().join(star, ["a", "b"], "left_anti")
+    more = written(verified(written(rest, "pairs"), docs, k, percent), "links")
     if not more.isEmpty():
         groups = connected_components(links.union(more))
 

@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 
 #: Bytes of text that one block holds; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: An odd multiplier for polynomial hashes modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
