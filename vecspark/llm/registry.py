@@ -1,9 +1,17 @@
 """The corpus queries by name, with their SQL twins where SQL can express them."""
 
-from vecspark.llm import jaccard_join
+from vecspark.llm import jaccard_join, mixing, order_minhash, quality_rules, url_filter
 
 QUERIES = {
+    "op4_quality_rules": quality_rules.op4,
+    "op5_url_filter": url_filter.op5,
+    "op6_mixing": mixing.op6,
+    "op9_order_minhash": order_minhash.op9,
     "op10_ngram_jaccard_join": jaccard_join.op10,
 }
 
-ORACLES: dict = {}
+ORACLES = {
+    "op4_quality_rules": quality_rules.OP4_SQL,
+    "op5_url_filter": url_filter.OP5_SQL,
+    "op6_mixing": mixing.OP6_SQL,
+}
