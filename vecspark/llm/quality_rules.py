@@ -17,12 +17,15 @@ from vecspark.llm.shared import load
 #: Word characters in kept lines, in percent, from which a document stays.
 MIN_KEPT = 50
 #: What a line of running text ends with.
-SENTENCE_END = r"""[.!?:;,…。！？"'”’»)\]-]$"""
-#: Separators of menus and breadcrumbs, of which a line holds fewer than one for six words.
-NAVIGATION = "[|»›•→]"
-#: Phrases of page furniture.
+SENTENCE_ENDS = tuple(""".!?:;,-…。！？"'”’»)]""")
+#: Separators of menus and breadcrumbs, of which a line holds fewer than one for 30 characters.
+NAVIGATION = "|»›•→"
+#: Symbols, of which a line holds fewer than one for 5 characters.
+SYMBOLS = "#*$%&<>"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Phrases of page furniture, held against lower-cased lines.
 BOILERPLATE = (
-    "(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie policy|use of cookies|enable javascript|"
+    r"\b(all rights reserved|terms of (use|service)|privacy policy|cookie policy|use of cookies|enable javascript|"
     "click here|sign up|log in|subscribe to|newsletter|read more|share this|skip to content|back to top|lorem ipsum)"
 )
 
@@ -31,31 +34,36 @@ def bare(line: Column) -> Column:
     return F.btrim(line, F.lit(native.SPACE))
 
 
+def held(text: Column, characters: str) -> Column:
+    """How many of these characters a text holds."""
+    return F.length(text) - F.length(F.translate(text, characters, ""))
+
+
 def line_passes(line: Column) -> Column:
-    """Whether a line without outer white space passes the five rules; one without words never does."""
-    words = native.word_count(line)
-    letters = F.regexp_count(line, F.lit("[A-Za-z]"))
+    """Whether a line without outer white space passes the five rules. It shouts if 2 in 5 characters are A-Z."""
+    size = F.length(line)
     return (
-        line.rlike(SENTENCE_END)
-        & (6 * F.regexp_count(line, F.lit(NAVIGATION)) < words)
-        & (F.regexp_count(line, F.lit("[#*$%&<>]")) < words)
-        & ((letters < 20) | (2 * F.regexp_count(line, F.lit("[A-Z]")) < letters))
-        & ~line.rlike(BOILERPLATE)
+        F.right(line, F.lit(1)).isin(*SENTENCE_ENDS)
+        & (30 * held(line, NAVIGATION) < size)
+        & (5 * held(line, SYMBOLS) < size)
+        & ((size < 20) | (5 * held(line, CAPITALS) < 2 * size))
+        & ~F.lower(line).rlike(BOILERPLATE)
     )
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the kept lines (_lines).
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the kept lines (_lines),
+    without white space around them.
 
     A null text counts as empty. Columns of docs of these names are replaced.
     """
     text = native.text_or_empty()
-    squeezed = F.translate(text, native.SPACE, "")
+    squeezed = F.regexp_replace(text, r"[\x20\x09-\x0D]", "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(bare(x)) > 0)
     one = (
         docs.withColumn("_words", native.word_array(text))
         .withColumn("word_chars", F.length(squeezed).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
+        .withColumn("n_symbols", held(text, SYMBOLS + "|").cast("long"))
         .withColumn("_lines", lines)
     )
     two = one.withColumn("n_words", F.size("_words").cast("long")).withColumn("_hashes", native.window_hashes("_words", 3))
@@ -73,7 +81,7 @@ def measured(docs: DataFrame) -> DataFrame:
     return (
         four.withColumn("n_repeat_words", F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size("_distinct")).cast("long"))
-        .withColumn("_lines", F.filter("_distinct", lambda x: line_passes(bare(x))))
+        .withColumn("_lines", F.filter(F.transform("_distinct", bare), line_passes))
         .drop("_at", "_distinct")
     )
 
@@ -120,14 +128,14 @@ WITH base AS (
 ), kinds AS (
   SELECT r, line, count(*) AS c,
          regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS l FROM lines GROUP BY r, line
-), judged AS (
-  SELECT *, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(l, '[A-Za-z]')) AS letters FROM kinds
 ), by_line AS (
-  SELECT r, sum(c - 1) AS dup, sum(CASE WHEN regexp_matches(l, '{SENTENCE_END.replace("'", "''")}')
-      AND 6 * len(regexp_extract_all(l, '{NAVIGATION}')) < n AND len(regexp_extract_all(l, '[#*$%&<>]')) < n
-      AND (letters < 20 OR 2 * len(regexp_extract_all(l, '[A-Z]')) < letters) AND NOT regexp_matches(l, '{BOILERPLATE}')
+  SELECT r, sum(c - 1) AS dup, sum(CASE WHEN right(l, 1) IN ({", ".join("'" + x.replace("'", "''") + "'" for x in SENTENCE_ENDS)})
+      AND 30 * (length(l) - length(translate(l, '{NAVIGATION}', ''))) < length(l)
+      AND 5 * (length(l) - length(translate(l, '{SYMBOLS}', ''))) < length(l)
+      AND (length(l) < 20 OR 5 * (length(l) - length(translate(l, '{CAPITALS}', ''))) < 2 * length(l))
+      AND NOT regexp_matches(lower(l), '{BOILERPLATE}')
       THEN length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) ELSE 0 END) AS kept_chars
-  FROM judged GROUP BY r
+  FROM kinds GROUP BY r
 ), windows AS (
   SELECT r, i, [w[i], w[i + 1], w[i + 2]] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM base)
 ), often AS (
