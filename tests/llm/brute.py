@@ -45,3 +45,25 @@ def jaccard_groups(rows, k, percent):
                         x, y = find(i), find(j)
                         parent[max(x, y, key=lambda z: sets[z][0])] = min(x, y, key=lambda z: sets[z][0])
     return sorted((d, len(s), sets[find(i)][0]) for i, (d, s) in enumerate(sets))
+
+
+def repeats(rows, window):
+    """[(doc_id, n_words, n_removed, kept sha256)] by a dictionary of all windows."""
+    import hashlib
+
+    first = {}
+    for d, t in rows:
+        w = words(t)
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            first[key] = min(first.get(key, (d, i)), (d, i))
+    out = []
+    for d, t in rows:
+        w = words(t)
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < (d, i):
+                gone.update(range(i, i + window))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out)

@@ -24,7 +24,7 @@ from vecspark.llm.shared import load, written
 
 #: By rank of the source; share of all sizes, and the most repeats, in percent.
 WEIGHTS, SHARE, MOST_REPEATS = (5, 2, 1), 150, 200
-BLOCK_WORDS, SHARD_WORDS, SEED = 16, 4_000_000, 17
+BLOCK_WORDS, SHARD_WORDS, SEED = 16, 65_536, 17
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: int = SHARE, most: int = MOST_REPEATS) -> DataFrame:
