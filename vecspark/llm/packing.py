@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -32,28 +34,56 @@ TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 #: Tokens of a step group, and tokens that a chunk gathers before it is packed.
 STEP_TOKENS, CHUNK_TOKENS = 16 * 2048, 1 << 19
-#: Words whose ids a task remembers.
-CACHED_WORDS = 300_000
+#: Words, and stems, whose ids a task remembers.
+CACHED_WORDS = 800_000
+ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class Encoder:
-    """Ids of texts by a public tokenizer that drops white space, so that words can be encoded by themselves."""
+    """Ids of texts by a public tokenizer that lower-cases and drops white space, so that words encode by themselves.
+
+    So do a stem that ends in an ASCII letter or digit and the punctuation after it, as the tokenizer splits there;
+    stems recur far more often than words. Both are remembered as the bytes of their ids.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words, self.stems = Tokenizer.from_file(path), {}, {}
+
+    def _learn(self, new: set[bytes]) -> None:
+        if len(self.stems) + len(new) > CACHED_WORDS:
+            self.stems = {}
+        words, stems = list(new), []
+        for word in words:
+            lower = word.lower() if b"<|" not in word else word  # special tokens are found before lower-casing
+            stem = lower.rstrip(b".,;:!?")
+            stems.append(stem if stem and stem[-1] in ALNUM else lower)
+        rests = [word[len(stem) :] for word, stem in zip(words, stems, strict=True)]
+        known = self.stems
+        unknown = [part for part in {*stems, *rests} if part not in known]
+        for at in range(0, len(unknown), 10_000):
+            some = unknown[at : at + 10_000]
+            encoded = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
+            known.update(zip(some, [array("I", x.ids).tobytes() for x in encoded], strict=True))
+        self.words.update(zip(words, [known[a] + known[b] for a, b in zip(stems, rests, strict=True)], strict=True))
 
     def ids(self, raw: list[bytes | None]) -> list[np.ndarray]:
         lists = [t.split() if t else [] for t in raw]
-        new = list({w for words in lists for w in words if w not in self.known})
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, list({w for words in lists for w in words})
-        for word, found in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = found.ids
-        get = self.known.__getitem__
-        return [np.array([*chain.from_iterable(map(get, words)), END_ID], dtype="<u4") for words in lists]
+        every = set(chain.from_iterable(lists))
+        if new := {w for w in every if w not in self.words}:
+            if len(self.words) + len(new) > CACHED_WORDS:
+                self.words, new = {}, every
+            self._learn(new)
+        get, end = self.words.__getitem__, np.array([END_ID], dtype="<u4").tobytes()
+        return [np.frombuffer(b"".join(map(get, words)) + end, dtype="<u4") for words in lists]
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which keeps what it has learned from task to task."""
+    return Encoder(path)
 
 
 class Packer:
@@ -145,7 +175,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches):
-        encoder, packer = Encoder(tokenizer), Packer(tiers)
+        packer = Packer(tiers)
         held: dict[int, tuple] = {}  # documents with pieces that wait
         base, count, in_tier = TaskContext.get().partitionId() << 32, 0, {}
         made, gathered, serial, arrow = [], 0, 0, None
@@ -172,7 +202,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
         for batch in batches:
             arrow = batch.schema.field("doc_id").type
             for block in blocks(batch):
-                for doc_id, ids in zip(block.column("doc_id").to_pylist(), encoder.ids(texts(block)), strict=True):
+                for doc_id, ids in zip(block.column("doc_id").to_pylist(), encoder(tokenizer).ids(texts(block)), strict=True):
                     held[serial] = (doc_id, ids)
                     made += packer.add(serial, len(ids))
                     serial, gathered = serial + 1, gathered + len(ids)

@@ -28,7 +28,7 @@ class ShardStore:
     """A folder of shards and manifests; the folder must be shared by all executors."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root, self.schema = spark, root, None
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
         self.fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -54,17 +54,21 @@ class ShardStore:
         return self.spark.read.parquet(f"{self.root}/manifests/v{version}")
 
     def append(self, docs: DataFrame, arrival: str = "arrival") -> None:
-        """Append docs(text, arrival, ...) as one shard for each arrival and commit the next version."""
+        """Append docs(text, arrival, ...) as one shard for each arrival and commit the next version.
+
+        Shards don't change, so an arrival that was appended before is refused.
+        """
         named = docs.withColumn("shard_id", F.concat(F.lit("0-"), F.col(arrival).cast("string")))
-        named.repartition("shard_id").write.mode("append").option("compression", "zstd").partitionBy("shard_id").parquet(f"{self.root}/data")
-        shards = self.spark.read.parquet(f"{self.root}/data").where("shard_id like '0-%'").groupBy("shard_id").agg(
+        shards = named.groupBy("shard_id").agg(
             F.min(arrival).cast("long").alias("first"), F.count("*").alias("shard_rows"), F.sum(text_bytes()).cast("long").alias("shard_bytes")
         )
-        versions = self.versions()
-        if versions:
-            old = self.manifest()
-            shards = old.unionByName(shards.join(old.select("first"), "first", "left_anti").select(old.columns))
-        self.commit(shards.select("shard_id", "first", "shard_rows", "shard_bytes"), versions[-1] + 1 if versions else 1)
+        new = shards.collect()
+        if known := [r.shard_id for r in new if self.fs.exists(self._path(f"data/shard_id={r.shard_id}"))]:
+            raise FileExistsError(f"there already: {known[:5]}")
+        self.schema = docs.schema
+        named.repartition("shard_id").write.mode("append").option("compression", "zstd").partitionBy("shard_id").parquet(f"{self.root}/data")
+        manifest, versions = self.spark.createDataFrame(new, shards.schema), self.versions()
+        self.commit(self.manifest().unionByName(manifest) if versions else manifest, versions[-1] + 1 if versions else 1)
 
     def plan(self, target: int, fanout: int) -> DataFrame:
         """The manifest with tier and bin (null: not merged now)."""
@@ -99,8 +103,8 @@ class ShardStore:
         """The documents of a version with shard_id."""
         ids = [r.shard_id for r in self.manifest(version).select("shard_id").collect()]
         if not ids:
-            return self.spark.read.parquet(f"{self.root}/data").limit(0)
-        return self.spark.read.option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/shard_id={i}" for i in ids])
+            return self.spark.createDataFrame([], self.schema).withColumn("shard_id", F.lit(""))
+        return self.spark.read.option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/shard_id={i}" for i in ids]).withColumn("shard_id", F.col("shard_id").cast("string"))
 
 
 def text_bytes():
