@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm import native
-from vecspark.llm.shared import load
+from vecspark.llm.shared import load, written
 
 #: Word characters in kept lines, in percent, from which a document stays.
 MIN_KEPT = 50
@@ -22,6 +22,7 @@ SENTENCE_ENDS = tuple(""".!?:;,-…。！？"'”’»)]""")
 NAVIGATION = "|»›•→"
 #: Symbols, of which a line holds fewer than one for 5 characters.
 SYMBOLS = "#*$%&<>"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Phrases of page furniture, held against lower-cased lines.
 BOILERPLATE = (
@@ -107,16 +108,19 @@ def judged(docs: DataFrame, min_kept: int = MIN_KEPT) -> DataFrame:
 
 
 def apply_rules(docs: DataFrame, min_kept: int = MIN_KEPT) -> DataFrame:
-    """docs without the rejected documents, as they were: the columns and texts are unchanged."""
-    return judged(docs, min_kept).where("kept").select(docs.columns)
+    """docs without the rejected documents, as they were: the columns and texts are unchanged.
+
+    All measures are written before the verdict is applied: the optimizer would move a filter below them and copy
+    them into it, each array once for each of its elements.
+    """
+    kept = written(judged(docs, min_kept).select(*docs.columns, *MEASURES), "judged")
+    return kept.where("kept").select(docs.columns)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return judged(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars"
-    )
+    return judged(docs).select("doc_id", *MEASURES)
 
 
 OP4_SQL = rf"""
