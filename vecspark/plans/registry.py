@@ -1,4 +1,142 @@
 """Queries over the fixture tables, by name, with their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecspark.functions import sizing
+from vecspark.operators import graph, kmeans, knn, scheduling, search, sharding
+
+SHARD, DEGREE, MERGED = 100, 8, 6
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+def asked(spark: SparkSession, d: str, n: int = 50) -> DataFrame:
+    return vectors(spark, d).where(F.col("id") < n).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+
+
+def centres(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).where("id < 8").select(F.col("id").cast("int").alias("shard"), F.col("vec").cast("array<double>").alias("centroid"))
+
+
+def blocks(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.direct(vectors(spark, d), SHARD)
+
+
+def shard_graph(spark: SparkSession, d: str) -> DataFrame:
+    return graph.shard_knn_graph(blocks(spark, d), vectors(spark, d), DEGREE)
+
+
+def global_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.remap(shard_graph(spark, d), blocks(spark, d))
+
+
+def beam(spark: SparkSession, d: str, pool: int) -> DataFrame:
+    base = vectors(spark, d).select((F.col("id") / SHARD).cast("long").alias("shard"), "id", "vec")
+    edges = global_edges(spark, d).select((F.col("src") / SHARD).cast("long").alias("shard"), "src", "dst")
+    return search.graph_search(base, edges, asked(spark, d), 10, pool)
+
+
+TASKS = [(1, 1000, 128, 32), (2, 2000, 128, 64), (3, 1500, 128, 32)]
+
+
+def tasks(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TASKS, "id long, n long, d long, deg long")
+
+
+def first_tasks(spark: SparkSession, d: str) -> DataFrame:
+    deps, done = spark.createDataFrame([(1, 2)], "parent long, child long"), spark.createDataFrame([], "id long")
+    return scheduling.admitted(scheduling.ready(tasks(spark), deps, done), 10_000_000)
+
+
+def lloyd_counts(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors(spark, d)
+    return kmeans.assign(v, kmeans.lloyd(v, centres(spark, d), 3, 0.0)).groupBy("shard").agg(F.count("*").alias("n"))
+
+
+QUERIES = {
+    "knn_exact_topk": lambda s, d: knn.knn(vectors(s, d), asked(s, d)),
+    "knn_ip_topk": lambda s, d: knn.knn(vectors(s, d), asked(s, d), metric="ip"),
+    "knn_cosine_topk": lambda s, d: knn.knn(vectors(s, d), asked(s, d), metric="cosine").select("qid", "rank", "id", (F.round("dist", 9) + 0.0).alias("dist")),
+    "knn_range_filter": lambda s, d: knn.knn(vectors(s, d), asked(s, d), where=F.col("id").between(100, 299)),
+    "shard_direct": blocks,
+    "shard_direct_sizes": lambda s, d: blocks(s, d).groupBy("shard").agg(F.count("*").alias("n")),
+    "shard_search_gather": lambda s, d: knn.shard_search(blocks(s, d), vectors(s, d), asked(s, d)),
+    "sample_rows": lambda s, d: kmeans.seeded_sample(vectors(s, d), 0.3).select("id"),
+    "kmeans_assign": lambda s, d: kmeans.assign(vectors(s, d), centres(s, d)),
+    "kmeans_update": lambda s, d: kmeans.update(vectors(s, d), kmeans.assign(vectors(s, d), centres(s, d)), centres(s, d)).select("shard", F.posexplode("centroid").alias("i", "m")).select("shard", "i", F.round("m", 9).alias("m")),
+    "kmeans_residual": lambda s, d: kmeans.residual(vectors(s, d), kmeans.assign(vectors(s, d), centres(s, d)), centres(s, d)).select(F.round("residual", 6).alias("residual")),
+    "kmeans_lloyd_3": lloyd_counts,
+    "kmeans_seed_step": lambda s, d: kmeans.plus_plus_step(vectors(s, d), centres(s, d), 0.4),
+    "assign_nearest_k": lambda s, d: sharding.nearest(vectors(s, d), centres(s, d), 2),
+    "assign_two_round": lambda s, d: sharding.two_round(vectors(s, d), centres(s, d), 2, 400, 1.2),
+    "assign_nonselective": lambda s, d: sharding.non_selective(vectors(s, d), centres(s, d), 2, 400),
+    "assign_running_avg": lambda s, d: sharding.running_average(vectors(s, d), centres(s, d), 3, 1.1),
+    "shard_stats": lambda s, d: sharding.stats(sharding.nearest(vectors(s, d), centres(s, d), 2)),
+    "local_ids": lambda s, d: sharding.local_ids(sharding.nearest(vectors(s, d), centres(s, d), 2)),
+    "shard_knn_graph": shard_graph,
+    "graph_remap": global_edges,
+    "graph_union": lambda s, d: graph.union_edges(global_edges(s, d)),
+    "graph_merge_variable": lambda s, d: graph.merge(global_edges(s, d), MERGED),
+    "graph_merge_fixed": lambda s, d: graph.merge(global_edges(s, d), MERGED, fixed=True),
+    "graph_degree_stats": lambda s, d: graph.degree_stats(graph.merge(global_edges(s, d), MERGED)),
+    "node_shard_map": lambda s, d: graph.node_shards(sharding.local_ids(sharding.nearest(vectors(s, d), centres(s, d), 2))),
+    "label_medoids": lambda s, d: graph.label_medoids(vectors(s, d), blocks(s, d)),
+    "beam_search_full_pool": lambda s, d: beam(s, d, 4096).select("qid", "rank", "id", F.round("dist", 9).alias("dist")),
+    "beam_search_recall": lambda s, d: knn.recall(beam(s, d, 16), knn.knn(vectors(s, d), asked(s, d))),
+    "task_pack": first_tasks,
+    "plan_partitions": lambda s, d: s.createDataFrame([sizing.plan_partitions(10**8, 128, 64, 2, 32)], "parts long, most long"),
+}
+
+L2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
+IP = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+V = "v AS (SELECT vec_id AS id, embedding AS vec, label FROM embeddings), q AS (SELECT id AS qid, vec AS qvec FROM v WHERE id < 50), c AS (SELECT id::INT AS shard, vec AS centroid FROM v WHERE id < 8)"
+
+
+def _knn_sql(dist: str, where: str = "true", out: str = "dist") -> str:
+    return f"""WITH {V}, d AS (SELECT qid, id, {dist} AS dist FROM v, q WHERE {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM d)
+SELECT qid, rank, id, {out} AS dist FROM r WHERE rank <= 10"""
+
+
+QD = L2.format(a="vec", b="qvec")
+CD = f"cd AS (SELECT id, shard, {L2.format(a='vec', b='centroid')} AS dist FROM v, c), near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, shard) AS rank FROM cd), home AS (SELECT id, shard, dist FROM near WHERE rank = 1)"
+COS = f"1 - {IP.format(a='vec', b='qvec')} / (sqrt({IP.format(a='vec', b='vec')}) * sqrt({IP.format(a='qvec', b='qvec')}))"
+G = f"""p AS (SELECT id // {SHARD} AS shard, id % {SHARD} AS local_id, id, vec FROM v),
+gd AS (SELECT a.shard, a.local_id, b.local_id AS nbr_local, {L2.format(a='a.vec', b='b.vec')} AS dist FROM p a JOIN p b ON a.shard = b.shard AND a.id != b.id),
+g AS (SELECT * FROM (SELECT shard, local_id, row_number() OVER (PARTITION BY shard, local_id ORDER BY dist, nbr_local) - 1 AS pos, nbr_local FROM gd) WHERE pos < {DEGREE}),
+e AS (SELECT shard * {SHARD} + local_id AS src, shard * {SHARD} + nbr_local AS dst FROM g),
+m AS (SELECT * FROM (SELECT src, row_number() OVER (PARTITION BY src ORDER BY md5(concat_ws(':', '0', src::VARCHAR, dst::VARCHAR))) - 1 AS pos, dst FROM (SELECT DISTINCT * FROM e)) WHERE pos < {MERGED})"""
+TOP2 = "SELECT * FROM near WHERE rank <= 2"
+MEANS = "means AS (SELECT shard, i, avg(x) AS m FROM (SELECT home.shard, unnest(range(0, len(vec))) AS i, unnest(vec)::DOUBLE AS x FROM home JOIN v USING (id)) GROUP BY ALL)"
+
+ORACLES = {
+    "knn_exact_topk": _knn_sql(QD),
+    "knn_ip_topk": _knn_sql("-" + IP.format(a="vec", b="qvec")),
+    "knn_cosine_topk": _knn_sql(COS, out="round(dist, 9) + 0.0"),
+    "knn_range_filter": _knn_sql(QD, "id BETWEEN 100 AND 299"),
+    "shard_direct": f"SELECT vec_id // {SHARD} AS shard, vec_id % {SHARD} AS local_id, vec_id AS global_id FROM embeddings",
+    "shard_direct_sizes": f"SELECT vec_id // {SHARD} AS shard, count(*) AS n FROM embeddings GROUP BY 1",
+    "shard_search_gather": _knn_sql(QD),
+    "sample_rows": "SELECT vec_id AS id FROM embeddings WHERE ('0x' || substr(md5('0:' || vec_id), 1, 8))::BIGINT < floor(0.3 * 4294967296)::BIGINT",
+    "kmeans_assign": f"WITH {V}, {CD} SELECT * FROM home",
+    "kmeans_update": f"WITH {V}, {CD}, {MEANS} SELECT c.shard, i::INT AS i, round(coalesce(m, 0), 9) AS m FROM (SELECT shard, unnest(range(0, len(centroid))) AS i FROM c) c LEFT JOIN means USING (shard, i)",
+    "kmeans_residual": f"WITH {V}, {CD} SELECT round(sum(dist), 6) AS residual FROM home",
+    "kmeans_seed_step": f"WITH {V}, {CD}, run AS (SELECT id, sum(dist) OVER (ORDER BY id) AS r, sum(dist) OVER () AS t FROM home) SELECT min(id) AS id FROM run WHERE r >= 0.4 * t",
+    "assign_nearest_k": f"WITH {V}, {CD} {TOP2}",
+    "shard_stats": f"WITH {V}, {CD} SELECT shard, count(*) AS n, max(dist) AS radius FROM ({TOP2}) GROUP BY shard",
+    "local_ids": f"WITH {V}, {CD} SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY id) - 1 AS local_id, id AS global_id FROM ({TOP2})",
+    "shard_knn_graph": f"WITH {V}, {G} SELECT * FROM g",
+    "graph_remap": f"WITH {V}, {G} SELECT * FROM e",
+    "graph_union": f"WITH {V}, {G} SELECT DISTINCT * FROM e",
+    "graph_merge_variable": f"WITH {V}, {G} SELECT * FROM m",
+    "graph_merge_fixed": f"WITH {V}, {G} SELECT * FROM m",
+    "graph_degree_stats": f"WITH {V}, {G} SELECT count(*) AS n_nodes, sum(n)::BIGINT AS n_edges, min(n) AS least, max(n) AS most FROM (SELECT count(*) AS n FROM m GROUP BY src)",
+    "node_shard_map": f"WITH {V}, {CD} SELECT id AS global_id, count(*) AS n_shards, min(shard) AS first_shard FROM ({TOP2}) GROUP BY id",
+    "beam_search_full_pool": _knn_sql(QD, out="round(dist, 9)"),
+    "task_pack": "SELECT unnest([0, 1])::BIGINT AS slot, unnest([3, 1])::BIGINT AS id",
+}
