@@ -13,6 +13,7 @@ from its input split alone; sequence ids start with the partition.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from array import array
@@ -72,10 +73,14 @@ class Encoder:
     def ids(self, raw: list[bytes | None]) -> list[np.ndarray]:
         lists = [t.split() if t else [] for t in raw]
         every = set(chain.from_iterable(lists))
-        if new := {w for w in every if w not in self.words}:
+        if new := every.difference(self.words):
             if len(self.words) + len(new) > CACHED_WORDS:
                 self.words, new = {}, every
-            self._learn(new)
+            gc.disable()  # nothing here is cyclic, and there are many objects to trace
+            try:
+                self._learn(new)
+            finally:
+                gc.enable()
         get, end = self.words.__getitem__, np.array([END_ID], dtype="<u4").tobytes()
         return [np.frombuffer(b"".join(map(get, words)) + end, dtype="<u4") for words in lists]
 
