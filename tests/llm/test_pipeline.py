@@ -1,7 +1,7 @@
 """run() against plain versions of its stages."""
 
 import corpus_pipeline
-from vecspark.llm.quality_rules import judged
+from vecspark.llm.quality_rules import MEASURES, judged
 
 from . import brute
 
@@ -9,7 +9,7 @@ from . import brute
 def test_stages_against_plain_versions(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
-    kept = {r.doc_id for r in judged(docs).where("kept").collect()}
+    kept = {r.doc_id for r in judged(docs).select("doc_id", *MEASURES).collect() if r.kept}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = [tuple(r) for r in docs.select("doc_id", "text").collect()]
         docs = stage(spark, docs, sf_dir).cache()
