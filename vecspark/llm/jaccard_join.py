@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.components import connected_components
-from vecspark.llm.shared import written
+from vecspark.llm.shared import Scratch
 from vecspark.llm.tokens import Words, blocks, longs, mixed, ragged, rolled, texts
 
 #: Entries of the table of common shingles, which is broadcast: at most 262,144 longs and ranks, 4 MB.
@@ -172,6 +172,14 @@ def signatures(docs: DataFrame, k: int, percent: int, list_cost: int) -> DataFra
 
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sketches don't rule the similarity out."""
+    sizes = nodes.select("doc_id", "n")
+    pairs = (
+        pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a")
+        .join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
+        .where(f"100 * least(na, nb) >= {int(percent)} * greatest(na, nb)")
+        .select("a", "b")
+        .distinct()
+    )
     rows = pairs.join(nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(
         nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b"
     )
@@ -221,9 +229,9 @@ def heavy_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return cells.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Those of the pairs (a, b) whose texts are similar enough, by the shingles themselves."""
-    wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    wanted = scratch.put(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), name)
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     held = docs.join(wanted, "doc_id", "left_semi").repartition("doc_id")
@@ -255,53 +263,55 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, list_cost: in
     kept. A null doc_id has the component of its equal sets, or null. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(signatures(docs, k, percent, list_cost), "signatures")
-    reps = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    nodes = (
-        signed.where("n > 0 and doc_id is not null")
-        .join(reps, ["s1", "s2"])
-        .where("doc_id = rep")
-        .dropDuplicates(["doc_id", "n"])
-        .select("doc_id", "n", "keys", "sketch")
-    )
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    numbered = signatures(docs, k, percent, list_cost).withColumn("row", F.monotonically_increasing_id())
+    signed = scratch.put(numbered, "signatures")
+    slim = scratch.put(signed.select("doc_id", "n", "s1", "s2", "row"), "sets")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("least")
+    reps = slim.where("n > 0").groupBy("s1", "s2").agg(least).select("s1", "s2", F.col("least.doc_id").alias("rep"), F.col("least.row").alias("row"))
+    nodes = scratch.put(signed.join(reps.select("row"), "row", "left_semi").select("doc_id", "n", "keys", "sketch"), "nodes")
+    scratch.drop("signatures")
+
     posted = nodes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
-    met = posted.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("hub")).where("c > 1")
-    lists = written(posted.join(met.select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m")), "key"), "lists")
+    met = posted.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1").select("key", "hub")
+    met = scratch.put(met, "met")
+    lists = scratch.put(posted.join(met, "key"), "lists")
+    scratch.drop("met")
 
-    fits = f"100 * least(n, m) >= {int(percent)} * greatest(n, m)"
-    star = lists.where("id != hub").where(fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    star = written(star, "pairs")
+    star = scratch.put(lists.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "star")
     sketched = nodes.select("doc_id", "n", "sketch")
-    links = written(verified(written(plausible(star, sketched, percent), "pairs"), docs, k, percent), "links")
+    near = scratch.put(plausible(star, sketched, percent), "near")
+    links = scratch.put(verified(near, docs, k, percent, scratch, "ids"), "links")
     groups = connected_components(links)
 
     held = lists.join(groups, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     open_keys = (
         held.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key", "c")
     )
-    open_lists = written(held.join(open_keys, "key"), "lists")
+    open_lists = scratch.put(held.join(open_keys, "key"), "open")
+    scratch.drop("lists", "near", "ids")
     light = open_lists.where(F.col("c") <= LIGHT_LIST)
     across = (
         light.select("key", F.col("id").alias("a"), "n", F.col("component").alias("ca"))
         .join(light.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb")), "key")
         .where("ca < cb")
-        .where(fits)
+        .where(f"100 * least(n, m) >= {int(percent)} * greatest(n, m)")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
     heavy = heavy_pairs(open_lists.where(F.col("c") > LIGHT_LIST), sketched, percent)
     rest = plausible(across, sketched, percent).union(heavy).distinct().join(star, ["a", "b"], "left_anti")
-    more = written(verified(written(rest, "pairs"), docs, k, percent), "links")
+    rest = scratch.put(rest, "rest")
+    more = scratch.put(verified(rest, docs, k, percent, scratch, "more_ids"), "more")
     if not more.isEmpty():
         groups = connected_components(links.union(more))
 
     named = reps.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    return (
-        signed.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
-        .join(named, ["s1", "s2"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = slim.join(named, ["s1", "s2"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     )
+    return scratch.result(found, "groups")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

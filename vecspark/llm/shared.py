@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes an execution's shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir.
@@ -27,14 +30,42 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: a lost executor costs no recomputation.
+
+    The shuffle files of the write go with its end, as nothing reads them again.
+    """
     spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
+    path = path or work_dir(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before) if before is not None else spark.conf.unset(SHUFFLE_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """An operator's own tables in one folder of the shared one: each goes when it is of no more use."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, work_dir(spark, name)
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name, f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            drop_path(self.spark, f"{self.path}/{name}")
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """df written outside the folder, which goes."""
+        out = written(df, name)
+        drop_path(self.spark, self.path)
+        return out
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of this session's own work."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
