@@ -257,7 +257,7 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     A document of which nothing is left goes. n_chars, if there, follows the text. Needs unique doc_ids.
     """
-    cut = removals(docs, window, spans=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept_text")
+    cut = written(removals(docs, window, spans=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept_text"), "cut")
     out = docs.join(cut, docs["doc_id"] == cut["_id"], "left").where("kept_text is null or kept_text != ''")
     changed = F.col("kept_text").isNotNull()
     if "n_chars" in docs.columns:
