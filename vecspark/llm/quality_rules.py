@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm import native
-from vecspark.llm.shared import load, written
+from vecspark.llm.shared import load
 
 #: Word characters in kept lines, in percent, from which a document stays.
 MIN_KEPT = 50
@@ -110,11 +110,11 @@ def judged(docs: DataFrame, min_kept: int = MIN_KEPT) -> DataFrame:
 def apply_rules(docs: DataFrame, min_kept: int = MIN_KEPT) -> DataFrame:
     """docs without the rejected documents, as they were: the columns and texts are unchanged.
 
-    All measures are written before the verdict is applied: the optimizer would move a filter below them and copy
-    them into it, each array once for each of its elements.
+    The row number beside the verdict is not deterministic, which keeps the optimizer from moving the filter below
+    the measures and copying them into it, each array once for each of its elements.
     """
-    kept = written(judged(docs, min_kept).select(*docs.columns, *MEASURES), "judged")
-    return kept.where("kept").select(docs.columns)
+    numbered = judged(docs, min_kept).select(*docs.columns, "kept", F.monotonically_increasing_id().alias("_row"))
+    return numbered.where("kept and _row >= 0").select(docs.columns)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
