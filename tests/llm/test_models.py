@@ -55,6 +55,15 @@ def test_lm_odd_rows(spark):
     assert lm_scoring.pseudo_likelihood(docs.limit(0)).count() == 0
 
 
+def test_lm_trains_on_every_position_once():
+    from vecspark.llm.tokens import Words
+
+    words = Words([b"a b c " * 3000, None, b"", b"a", b"d e"], lower=True)
+    batches = list(lm_scoring.targets(words))
+    assert sorted(np.concatenate(batches).tolist()) == list(range(9003))
+    assert max(map(len, batches)) <= lm_scoring.BATCH and list(lm_scoring.targets(Words([None]))) == []
+
+
 def test_em_recovers_accuracies():
     rng = np.random.default_rng(2)
     truth = rng.random(20_000) < 0.8

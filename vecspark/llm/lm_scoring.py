@@ -4,14 +4,16 @@ The network predicts a word from the `SIDE` words before and after it: the embed
 for each place, are summed, pass a tanh, and a two-level softmax (first a class of the word, then the word within
 it) gives its probability. Words are hashed to `CLASSES * CLASSES` ids, so there is no vocabulary to gather.
 
-Training masks about one position in seven of every document. Each task trains from the same start on all of its
-documents and sends its parameters, weighed by its masked words; the average, chunk by chunk, is the model. What
+Training masks every position of every document once, in `MASK_OF` groups of about a seventh, one group after the
+other in each block of texts. Each task trains from the same start on all of its documents and sends its parameters, weighed by its masked words; the average, chunk by chunk, is the model. What
 is gathered grows with the number of tasks, and so with the corpus, while the model that is collected and
 broadcast has a fixed size of about 1.5 MB. Scoring predicts every word of every document from both sides.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -106,6 +108,16 @@ def neighbours(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return ids, around
 
 
+def targets(words: Words) -> Iterator[np.ndarray]:
+    """Positions of a block in batches, group by group: each is in exactly one batch."""
+    place = np.arange(len(words.hashes)) - np.repeat(words.starts, words.lens)
+    group = mixed(words.hashes + place.astype(np.uint64)) % np.uint64(MASK_OF)
+    for g in range(MASK_OF):
+        masked = np.flatnonzero(group == g)
+        for at in range(0, len(masked), BATCH):
+            yield masked[at : at + BATCH]
+
+
 def trained(docs: DataFrame) -> np.ndarray:
     """The averaged parameters; the start itself if there are no words."""
 
@@ -115,10 +127,7 @@ def trained(docs: DataFrame) -> np.ndarray:
             for block in blocks(batch):
                 words = Words(texts(block), lower=True)
                 ids, around = neighbours(words)
-                place = np.arange(len(ids)) - np.repeat(words.starts, words.lens)
-                mask = np.flatnonzero(mixed(words.hashes + place.astype(np.uint64)) % np.uint64(MASK_OF) == 0)
-                for at in range(0, len(mask), BATCH):
-                    some = mask[at : at + BATCH]
+                for some in targets(words):
                     network.train(around[some], ids[some])
                     seen += len(some)
         if seen:
