@@ -64,6 +64,32 @@ def test_lm_trains_on_every_position_once():
     assert max(map(len, batches)) <= lm_scoring.BATCH and list(lm_scoring.targets(Words([None]))) == []
 
 
+def test_lm_vocabulary_counts_every_word_and_leaves_one_case_for_the_unseen(spark, sf_dir):
+    from collections import Counter
+
+    from vecspark.llm.tokens import Words
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = lm_scoring.trained(docs.repartition(3))
+    counts = Counter(w for r in docs.collect() for w in r.text.encode().lower().split())
+    every = sorted(counts)
+    ids, _ = lm_scoring.neighbours(Words([b" ".join(every)]))
+    assert {r.word: r.n for r in model.vocabulary.collect()} == {i: counts[w] for i, w in zip(ids.tolist(), every, strict=True)}
+    assert len(every) > WORDS and model.totals.sum() == sum(counts.values())
+    network = WindowNetwork(model)
+    shares = np.bincount(ids % WORDS, np.exp(network.log_share(ids)), WORDS)
+    assert np.allclose(shares + 1 / (model.totals + 1), 1)
+    # words of one bucket differ, and so do the contexts that they make
+    known = ids[0]
+    unseen = next(i for i in range(known % WORDS, 2**40, WORDS) if i not in set(ids.tolist()))
+    around = np.full((1, 4), lm_scoring.PAD)
+    assert network.log_probability(around, np.array([known]))[0] >= network.log_probability(around, np.array([unseen]))[0]
+    assert (network.own[network.at(np.array([unseen]))] == 0).all() and np.abs(network.own[:-1]).max(axis=1).astype(bool).mean() > 0.9
+    more = spark.createDataFrame([(1, "neverseenword " * 3), (2, None)], "doc_id long, text string")
+    found = {r.doc_id: r for r in lm_scoring.scored(more, model).collect()}
+    assert found[1].n_words == 3 and found[1].log_likelihood < 0 and found[2].log_likelihood == 0
+
+
 def test_em_recovers_accuracies():
     rng = np.random.default_rng(2)
     truth = rng.random(20_000) < 0.8

@@ -1,18 +1,23 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network, trained here in numpy.
 
-The network predicts a word from the `SIDE` words before and after it: the embeddings of the neighbours, one table
-for each place, are summed, pass a tanh, and a two-level softmax (first a class of the word, then the word within
-it) gives its probability. Words are hashed to `CLASSES * CLASSES` ids, so there is no vocabulary to gather.
+The network predicts a word from the `SIDE` words before and after it: the embeddings of the neighbours are summed,
+pass a tanh, and a softmax of three levels gives its probability: a class, a bucket within the class (words are
+hashed to `WORDS` buckets), and the word within its bucket by its count in the corpus, beside one more count for
+all unseen words. A neighbour's embedding is that of its bucket, one table for each place, and one of the word's own,
+which an unseen word lacks. So every word of the corpus has its probability and its embedding: the vocabulary, a
+written table of words, counts and embeddings, grows with the corpus and is nowhere held as a whole.
 
 Training masks every position of every document once, in `MASK_OF` groups of about a seventh, one group after the
-other in each block of texts. Each task trains from the same start on all of its documents and sends its parameters, weighed by its masked words; the average, chunk by chunk, is the model. What
-is gathered grows with the number of tasks, and so with the corpus, while the model that is collected and
-broadcast has a fixed size of about 1.5 MB. Scoring predicts every word of every document from both sides.
+other in each block of texts. Each task trains from the same start on all of its documents and sends its parameters, weighed by its masked words, and the embeddings of its words, weighed by their
+counts; the averages are the model. Only the parameters of classes and buckets, about 1.5 MB, are collected and
+broadcast. For scoring, documents are dealt into groups of `GROUP_BYTES`, and each meets its own part of the
+vocabulary. Every word of every document is predicted from both sides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +25,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.shared import load
+from vecspark.llm.shared import Scratch, load, written
 from vecspark.llm.tokens import Words, blocks, mixed, texts
 
 CLASSES, HIDDEN, SIDE = 64, 16, 2
-WORDS, PAD = CLASSES * CLASSES, CLASSES * CLASSES
+WORDS, PAD = CLASSES * CLASSES, -1
 MASK_OF, BATCH, RATE, CHUNKS, SEED = 7, 2048, 3.0, 32, 11
+#: Words with embeddings that a training task holds before it sends them and begins anew; bytes of text of a group.
+MOST_OWN, GROUP_BYTES = 500_000, 8 << 20
+VOCABULARY = pa.schema([("word", pa.int64()), ("n", pa.int64()), ("own", pa.binary())])
+
+
+class Trained(NamedTuple):
+    """Parameters of classes and buckets, words of the corpus in each bucket, and vocabulary(word, n, own)."""
+
+    flat: np.ndarray
+    totals: np.ndarray
+    vocabulary: DataFrame
 
 
 class WindowNetwork:
-    """embed: (places, words and padding, hidden); outer: class weights and biases; inner: those of words."""
+    """embed: (places, buckets and padding, hidden); outer: class weights and biases; inner: those of buckets.
 
-    def __init__(self, flat: np.ndarray | None = None):
+    A word is an id of up to 63 bits, its bucket the remainder by WORDS. word, n and own are the known words in order,
+    their counts and embeddings. Without totals the network gives the probability of the bucket.
+    """
+
+    def __init__(self, flat: np.ndarray | Trained | None = None, totals: np.ndarray | None = None, vocabulary: pa.Table | None = None):
+        if isinstance(flat, Trained):
+            flat, totals, vocabulary = flat.flat, flat.totals, flat.vocabulary.toArrow()
+        self.totals = totals
+        self.forget()
+        if vocabulary is not None and vocabulary.num_rows:
+            word, n = vocabulary["word"].to_numpy(), vocabulary["n"].to_numpy()
+            self.word, first = np.unique(word, return_index=True)
+            self.n = n[first]
+            own = np.frombuffer(b"".join(vocabulary["own"].to_pylist()), np.float16).reshape(-1, HIDDEN)
+            self.own = np.concatenate([own[first], np.zeros((1, HIDDEN))]).astype(np.float32)
         shapes = ((2 * SIDE, WORDS + 1, HIDDEN), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, CLASSES), (CLASSES, CLASSES))
         sizes = [int(np.prod(s)) for s in shapes]
         if flat is None:
@@ -43,12 +73,40 @@ class WindowNetwork:
             x.reshape(s) for x, s in zip(np.split(self.flat, cuts), shapes, strict=True)
         )
 
+    def forget(self) -> None:
+        """Know no words; the last row of own is that of all unseen words and stays zero."""
+        self.word, self.n, self.own = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((1, HIDDEN), np.float32)
+
+    def meet(self, ids: np.ndarray) -> None:
+        """Count words, the new ones with an embedding of zero."""
+        word, n = np.unique(ids, return_counts=True)
+        new = word[self.at(word) == len(self.word)]
+        where = np.searchsorted(self.word, new)
+        self.word, self.n = np.insert(self.word, where, new), np.insert(self.n, where, 0)
+        self.own = np.insert(self.own, where, 0, axis=0)
+        self.n[self.at(word)] += n
+
+    def at(self, ids: np.ndarray) -> np.ndarray:
+        """Rows of own."""
+        if not len(self.word):
+            return np.zeros(ids.shape, dtype=np.int64)
+        found = np.searchsorted(self.word, ids)
+        found[self.word[np.minimum(found, len(self.word) - 1)] != ids] = len(self.word)
+        return found
+
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.embed[0][around[:, 0]]
-        for place in range(1, 2 * SIDE):
-            total = total + self.embed[place][around[:, place]]
+        bucket = buckets(around)
+        total = self.own[self.at(around)].sum(axis=1)
+        for place in range(2 * SIDE):
+            total = total + self.embed[place][bucket[:, place]]
         return np.tanh(total)
 
+    def log_share(self, word: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the shares of words in their buckets; all unseen words count as one occurrence."""
+        if self.totals is None:
+            return np.zeros(len(word))
+        return np.log(np.append(self.n, 1)[self.at(word)]) - np.log1p(self.totals[word % WORDS])
+
     @staticmethod
     def _log_softmax(x: np.ndarray) -> np.ndarray:
         x -= x.max(axis=1, keepdims=True)
@@ -56,6 +114,7 @@ class WindowNetwork:
 
     def log_probability(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of words between their neighbours."""
+        share, word = self.log_share(word), word % WORDS
         h, kind = self.hidden(around), word // CLASSES
         out = self._log_softmax(h @ self.outer + self.outer_bias)[np.arange(len(word)), kind]
         order = np.argsort(kind, kind="stable")
@@ -65,10 +124,11 @@ class WindowNetwork:
             if len(at):
                 within = self._log_softmax(h[at] @ self.inner[c] + self.inner_bias[c])
                 out[at] += within[np.arange(len(at)), word[at] % CLASSES]
-        return out
+        return out + share
 
     def train(self, around: np.ndarray, word: np.ndarray, rate: float = RATE) -> None:
         """One step of gradient ascent on the mean log-probability."""
+        word = word % WORDS
         n, kind = len(word), word // CLASSES
         h = self.hidden(around)
         up = -np.exp(self._log_softmax(h @ self.outer + self.outer_bias))
@@ -88,13 +148,20 @@ class WindowNetwork:
         self.outer += rate * (h.T @ up) / n
         self.outer_bias += rate * up.sum(axis=0) / n
         back = (dh * (1 - h * h) * (rate / np.sqrt(n))).astype(np.float32)
+        back, bucket, own = np.clip(back, -0.1, 0.1), buckets(around), self.at(around)
         for place in range(2 * SIDE):
-            np.add.at(self.embed[place], around[:, place], np.clip(back, -0.1, 0.1))
+            np.add.at(self.embed[place], bucket[:, place], back)
+            np.add.at(self.own, own[:, place], back)
+        self.own[-1] = 0
+
+
+def buckets(ids: np.ndarray) -> np.ndarray:
+    return np.where(ids == PAD, WORDS, ids % WORDS)
 
 
 def neighbours(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of a block and those around each; PAD beyond a document's ends."""
-    ids = (mixed(words.hashes) % np.uint64(WORDS)).astype(np.int64)
+    """Word ids of a block, by a hash of 63 bits, and those around each; PAD beyond a document's ends."""
+    ids = (mixed(words.hashes) >> np.uint64(1)).astype(np.int64)
     n = len(ids)
     doc = np.repeat(np.arange(len(words.lens)), words.lens)
     around = np.full((n, 2 * SIDE), PAD, dtype=np.int64)
@@ -118,24 +185,37 @@ def targets(words: Words) -> Iterator[np.ndarray]:
             yield masked[at : at + BATCH]
 
 
-def trained(docs: DataFrame) -> np.ndarray:
-    """The averaged parameters; the start itself if there are no words."""
+def trained(docs: DataFrame) -> Trained:
+    """The averaged parameters, or the start itself if there are no words, and the vocabulary."""
+    sending = pa.schema([("chunk", pa.int32()), ("word", pa.int64()), ("task", pa.int32()), ("seen", pa.int64()), ("part", pa.binary())])
 
     def learn(batches):
-        network, seen = WindowNetwork(), 0
+        network, seen, task = WindowNetwork(), 0, TaskContext.get().partitionId()
+
+        def known():
+            for at in range(0, len(network.word), 50_000):
+                word = network.word[at : at + 50_000]
+                own = [x.tobytes() for x in network.own[at : at + len(word)].astype(np.float16)]
+                columns = [pa.nulls(len(word), pa.int32()), pa.array(word), pa.array(np.full(len(word), task, np.int32)), pa.array(network.n[at : at + len(word)]), pa.array(own, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=sending)
+            network.forget()
+
         for batch in batches:
             for block in blocks(batch):
                 words = Words(texts(block), lower=True)
                 ids, around = neighbours(words)
+                network.meet(ids)
                 for some in targets(words):
                     network.train(around[some], ids[some])
-                    seen += len(some)
+                seen += len(ids)
+                if len(network.word) >= MOST_OWN:
+                    yield from known()
+        yield from known()
         if seen:
             parts = np.array_split(network.flat, CHUNKS)
-            task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pydict(
-                {"chunk": list(range(CHUNKS)), "task": [task] * CHUNKS, "seen": [seen] * CHUNKS, "part": [p.tobytes() for p in parts]},
-                schema=pa.schema([("chunk", pa.int32()), ("task", pa.int32()), ("seen", pa.int64()), ("part", pa.binary())]),
+                {"chunk": list(range(CHUNKS)), "word": [None] * CHUNKS, "task": [task] * CHUNKS, "seen": [seen] * CHUNKS, "part": [p.tobytes() for p in parts]},
+                schema=sending,
             )
 
     def average(batches):
@@ -151,10 +231,37 @@ def trained(docs: DataFrame) -> np.ndarray:
                 schema=pa.schema([("chunk", pa.int32()), ("part", pa.binary())]),
             )
 
-    sent = docs.select("text").mapInArrow(learn, "chunk int, task int, seen long, part binary")
-    dealt = sent.repartition("chunk").sortWithinPartitions("chunk", "task")
-    rows = sorted(dealt.mapInArrow(average, "chunk int, part binary").collect())
-    return np.concatenate([np.frombuffer(r.part, np.float32) for r in rows]) if rows else WindowNetwork().flat
+    def merge(batches):
+        held = None  # the last word of a batch, which may go on in the next
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word, n = batch.column("word").to_numpy(), batch.column("seen").to_numpy()
+            own = np.frombuffer(b"".join(batch.column("part").to_pylist()), np.float16).reshape(-1, HIDDEN) * n[:, None].astype(np.float64)
+            if held is not None:
+                word, n, own = (np.concatenate([x, y]) for x, y in zip(held, (word, n, own), strict=True))
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            word, n, own = word[first], np.add.reduceat(n, first), np.add.reduceat(own, first)
+            held = word[-1:], n[-1:], own[-1:]
+            yield rows(word[:-1], n[:-1], own[:-1])
+        if held is not None:
+            yield rows(*held)
+
+    def rows(word, n, own):
+        means = (own / n[:, None]).astype(np.float16)
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n), pa.array([x.tobytes() for x in means], pa.binary())], schema=VOCABULARY)
+
+    scratch = Scratch(docs.sparkSession, "lm")
+    sent = scratch.put(docs.select("text").mapInArrow(learn, "chunk int, word long, task int, seen long, part binary"), "sent")
+    dealt = sent.where("chunk is not null").repartition("chunk").sortWithinPartitions("chunk", "task")
+    parts = sorted(dealt.select("chunk", "seen", "part").mapInArrow(average, "chunk int, part binary").collect())
+    flat = np.concatenate([np.frombuffer(r.part, np.float32) for r in parts]) if parts else WindowNetwork().flat
+    dealt = sent.where("word is not null").repartition("word").sortWithinPartitions("word", "task", "seen")
+    vocabulary = scratch.result(dealt.select("word", "seen", "part").mapInArrow(merge, "word long, n long, own binary"), "vocabulary")
+    totals = np.zeros(WORDS, dtype=np.int64)
+    for bucket, n in vocabulary.groupBy(F.pmod("word", F.lit(WORDS)).cast("int")).agg(F.sum("n")).collect():
+        totals[bucket] = n
+    return Trained(flat, totals, vocabulary)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
@@ -163,12 +270,45 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     A text that is null or has no words has a log_likelihood of 0 and a null mean and perplexity. Equal texts have
     equal scores. A-Z are lower-cased.
     """
-    model = docs.sparkSession.sparkContext.broadcast(trained(docs))
+    return scored(docs, trained(docs))
+
+
+def scored(docs: DataFrame, model: Trained) -> DataFrame:
+    """pseudo_likelihood of docs under a model, perhaps of another corpus."""
+    small = docs.sparkSession.sparkContext.broadcast((model.flat, model.totals))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def score(batches):
-        network = WindowNetwork(model.value)
+    def deal(batches):
+        group, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
+            for block in blocks(batch):
+                size = block.column("text").nbytes
+                if held and held + size > GROUP_BYTES:
+                    group, held = group + 1, 0
+                held += size
+                yield pa.RecordBatch.from_arrays([*block.columns, pa.array(np.full(len(block), group))], names=["doc_id", "text", "part"])
+
+    def distinct(batches):
+        group, held = None, []
+        for batch in batches:
+            for block in blocks(batch):
+                at = block.column("part").to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if at[a] != group:
+                        yield from pairs(group, held)
+                        group, held = at[a], []
+                    held.append(np.unique(neighbours(Words(texts(block.slice(a, b - a)), lower=True))[0]))
+        yield from pairs(group, held)
+
+    def pairs(group, held):
+        word = np.unique(np.concatenate(held)) if held else []
+        if len(word):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), group)), pa.array(word)], names=["part", "word"])
+
+    def score(table: pa.Table, vocabulary: pa.Table) -> pa.Table:
+        network, out = WindowNetwork(*small.value, vocabulary), []
+        for batch in table.to_batches():
             for block in blocks(batch):
                 words = Words(texts(block), lower=True)
                 ids, around = neighbours(words)
@@ -177,18 +317,23 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
                     each[at : at + len(ids[at : at + BATCH])] = network.log_probability(around[at : at + BATCH], ids[at : at + BATCH])
                 total = [float(each[a:b].sum()) for a, b in zip(words.starts, words.ends, strict=True)]
                 mean = [t / n if n else None for t, n in zip(total, words.lens.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        block.column("doc_id"),
-                        pa.array(words.lens),
-                        pa.array(total, pa.float64()),
-                        pa.array(mean, pa.float64()),
-                        pa.array([None if m is None else float(np.exp(-m)) for m in mean], pa.float64()),
-                    ],
-                    names=["doc_id", "n_words", "log_likelihood", "mean_log_probability", "perplexity"],
+                out.append(
+                    pa.RecordBatch.from_arrays(
+                        [
+                            block.column("doc_id"),
+                            pa.array(words.lens),
+                            pa.array(total, pa.float64()),
+                            pa.array(mean, pa.float64()),
+                            pa.array([None if m is None else float(np.exp(-m)) for m in mean], pa.float64()),
+                        ],
+                        names=["doc_id", "n_words", "log_likelihood", "mean_log_probability", "perplexity"],
+                    )
                 )
+        return pa.Table.from_batches(out)
 
-    return docs.select("doc_id", "text").mapInArrow(
+    dealt = written(docs.select("doc_id", "text").mapInArrow(deal, f"doc_id {kind}, text string, part long"), "dealt")
+    known = dealt.mapInArrow(distinct, "part long, word long").join(model.vocabulary, "word").select("part", "word", "n", "own")
+    return dealt.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(
         score, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_probability double, perplexity double"
     )
 
