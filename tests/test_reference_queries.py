@@ -37,6 +37,23 @@ def test_waves_equal_the_serial_greedy(spark):
     assert {tuple(r) for r in found.collect()} == wanted
 
 
+@pytest.mark.parametrize(("k", "replicas", "limit"), [(4, 2, 12), (4, 3, 5), (2, 3, 5)])
+def test_non_selective_equals_the_serial_rule_when_shards_fill_up(spark, k, replicas, limit):
+    rng = np.random.default_rng(5)
+    points, middles = rng.integers(0, 50, (60, 2)).astype(float).tolist(), rng.integers(0, 50, (k, 2)).astype(float).tolist()
+    vectors = spark.createDataFrame(list(enumerate(points)), "id long, vec array<float>")
+    found = sharding.non_selective(vectors, spark.createDataFrame(list(enumerate(middles)), "shard int, centroid array<double>"), replicas, limit)
+    used, wanted = [0] * k, []
+    for i, p in enumerate(points):
+        taken = 0
+        for at, (d, s) in enumerate(sorted((float((p[0] - m[0]) ** 2 + (p[1] - m[1]) ** 2), s) for s, m in enumerate(middles))):
+            if taken < replicas and (used[s] < limit or k - at <= replicas - taken):
+                used[s] += 1
+                taken += 1
+                wanted.append((i, s, d))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(wanted) and max(used) > limit
+
+
 def test_two_round_invariants(spark):
     rows = registry.QUERIES["assign_two_round"](spark, DIR).collect()
     homes = [r.id for r in rows if r.home]

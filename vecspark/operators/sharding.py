@@ -72,8 +72,17 @@ def two_round(vectors: DataFrame, centres: DataFrame, replicas: int, limit: int,
 
 
 def non_selective(vectors: DataFrame, centres: DataFrame, replicas: int, limit: int) -> DataFrame:
-    """(id, shard, dist): the nearest shards with room for each vector."""
-    return waves(centre_distances(vectors, centres), limit, replicas)
+    """(id, shard, dist): the nearest shards with room for each vector.
+
+    A full shard is taken, beyond the limit, when the shards left do not exceed the replicas still needed. So a vector
+    that finds room in too few shards takes the farthest of the full ones.
+    """
+    every = centre_distances(vectors, centres)
+    roomy = waves(every, limit, replicas)
+    back = W.partitionBy("id").orderBy(F.desc("dist"), F.desc("shard"))
+    full = every.join(roomy.groupBy("id").agg(F.count("*").alias("n")), "id", "left").join(roomy.select("id", "shard"), ["id", "shard"], "left_anti")
+    short = full.where(F.coalesce("n", F.lit(0)) < replicas).withColumn("_back", F.row_number().over(back))
+    return roomy.union(short.where(F.col("_back") <= replicas - F.coalesce("n", F.lit(0))).select("id", "shard", "dist"))
 
 
 def running_average(vectors: DataFrame, centres: DataFrame, replicas: int, epsilon: float) -> DataFrame:
