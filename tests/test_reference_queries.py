@@ -60,6 +60,17 @@ def test_two_round_invariants(spark):
     assert sorted(homes) == list(range(500)) and len({(r.id, r.shard) for r in rows}) == len(rows)
 
 
+def test_two_round_gives_every_vector_a_home_when_no_shard_has_room(spark):
+    points, middles = [[float(i % 7)] for i in range(40)], [[0.0], [3.0], [6.0]]
+    vectors = spark.createDataFrame(list(enumerate(points)), "id long, vec array<float>")
+    rows = sharding.two_round(vectors, spark.createDataFrame(list(enumerate(middles)), "shard int, centroid array<double>"), 2, 10, 1.2).collect()
+    homes = {r.id: r.shard for r in rows if r.home}
+    assert sorted(r.id for r in rows if r.home) == list(range(40)) and len({(r.id, r.shard) for r in rows}) == len(rows)
+    # the first thirty fill the shards, the others have their nearest
+    assert sorted(homes[i] for i in range(30)) == [0] * 10 + [1] * 10 + [2] * 10
+    assert all(homes[i] == min(range(3), key=lambda s: (abs(points[i][0] - middles[s][0]), s)) for i in range(30, 40))
+
+
 def test_recall_and_broker(spark):
     assert registry.QUERIES["beam_search_recall"](spark, DIR).first().recall > 80
     done, deps = spark.createDataFrame([(1,), (3,)], "id long"), spark.createDataFrame([(1, 2)], "parent long, child long")

@@ -52,7 +52,7 @@ def two_round(vectors: DataFrame, centres: DataFrame, replicas: int, limit: int,
     """(shard, id, dist, home): selective replication.
 
     Round one gives every vector a home, the nearest shard with room within 80 percent of the limit; what finds none
-    takes the nearest with room within the limit. Round two adds shards nearer than epsilon times the home and than
+    takes the nearest with room within the limit, and the nearest of all, beyond the limit, if no shard has room. Round two adds shards nearer than epsilon times the home and than
     2 epsilon times the shard's radius, nearest first, while there is room and fewer than `replicas` shards.
     """
     every = centre_distances(vectors, centres)
@@ -60,6 +60,8 @@ def two_round(vectors: DataFrame, centres: DataFrame, replicas: int, limit: int,
     homeless = vectors.select("id").join(home, "id", "left_anti").join(every, "id")
     room = centres.select("shard").join(home.groupBy("shard").count(), "shard", "left").select("shard", (F.lit(limit) - F.coalesce("count", F.lit(0))).alias("cap"))
     home = home.union(waves(homeless, room, 1))
+    left_over = every.join(home.select("id"), "id", "left_anti").groupBy("id").agg(F.min(F.struct("dist", "shard")).alias("b"))
+    home = home.union(left_over.select("id", "b.shard", "b.dist"))
     radius = home.groupBy("shard").agg(F.max("dist").alias("radius"), F.count("*").alias("n"))
     more = (
         every.join(home.select("id", F.col("shard").alias("own"), F.col("dist").alias("home_dist")), "id")
