@@ -3,88 +3,129 @@
 import numpy as np
 
 from vecspark.llm import lm_scoring, quality_classifier
-from vecspark.llm.lm_scoring import WORDS, WindowNetwork
+from vecspark.llm.lm_scoring import EDGE, KINDS, OWN, SYMBOLS, WindowNetwork
+from vecspark.llm.tokens import Words
+
+
+def around_of(rng, n):
+    return rng.integers(0, SYMBOLS, (n, 4)) + np.arange(4) * (SYMBOLS + 1)
 
 
 def test_network_sums_to_one_and_learns():
-    network, rng = WindowNetwork(), np.random.default_rng(0)
-    around = rng.integers(0, WORDS, (3, 4))
-    every = np.arange(WORDS)
-    for row in around:
-        p = np.exp(network.log_probability(np.tile(row, (WORDS, 1)), every))
+    network, rng = WindowNetwork(counts=np.arange(SYMBOLS)), np.random.default_rng(0)
+    every = np.arange(SYMBOLS)
+    for row in around_of(rng, 3):
+        p = np.exp(network.log_probability(np.tile(row, (SYMBOLS, 1)), every))
         assert abs(p.sum() - 1) < 1e-3
-    words = rng.integers(0, WORDS, 200)
-    around = np.stack([words, words, words, words], axis=1)
-    before = network.log_probability(around, (words * 7) % WORDS).mean()
+    words = rng.integers(0, SYMBOLS, 200)
+    around = words[:, None] + np.arange(4) * (SYMBOLS + 1)
+    before = network.log_probability(around, (words * 7) % SYMBOLS).mean()
     for _ in range(60):
-        network.train(around, (words * 7) % WORDS)
-    assert network.log_probability(around, (words * 7) % WORDS).mean() > before + 2
-
-
-def test_gradient_of_the_outer_bias():
-    network, rng = WindowNetwork(), np.random.default_rng(1)
-    around, words = rng.integers(0, WORDS, (50, 4)), rng.integers(0, WORDS, 50)
-    old = network.outer_bias.copy()
-    base = network.log_probability(around, words).mean()
-    step = 1e-2
-    network.outer_bias[5] += step
-    numeric = (network.log_probability(around, words).mean() - base) / step
-    network.outer_bias[:] = old
-    network.train(around, words, rate=1e-3)
-    assert abs((network.outer_bias[5] - old[5]) / 1e-3 - numeric) < 5e-3
-
-
-def test_scores_match_a_plain_sum_and_prefer_held_out_text_in_order(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = {r.doc_id: r for r in lm_scoring.pseudo_likelihood(docs).collect()}
-    network = WindowNetwork(lm_scoring.trained(docs))
-    from vecspark.llm.tokens import Words
-
-    for d, text in [tuple(r) for r in docs.select("doc_id", "text").limit(5).collect()]:
-        ids, around = lm_scoring.neighbours(Words([text.encode()], lower=True))
-        total = sum(float(network.log_probability(around[i : i + 1], ids[i : i + 1])[0]) for i in range(len(ids)))
-        assert rows[d].n_words == len(ids) and abs(rows[d].log_likelihood - total) < 1e-3 * abs(total) + 1e-2
-    assert np.mean([r.mean_log_probability for r in rows.values()]) > -np.log(WORDS)
+        network.train(around, (words * 7) % SYMBOLS)
+    assert network.log_probability(around, (words * 7) % SYMBOLS).mean() > before + 2
+
+
+def test_gradients():
+    rng = np.random.default_rng(1)
+    around, words = around_of(rng, 50), rng.integers(0, SYMBOLS, 50)
+    start = WindowNetwork(counts=np.ones(SYMBOLS)).flat
+    for at in (0, 5):
+        network = WindowNetwork(start)
+        network.train(around, words, rate=1e-2, embedding_rate=1e-2)
+        for name in ("row_bias", "rows", "columns"):
+            own, moved = WindowNetwork(start.astype(np.float64)), getattr(network, name).ravel() - getattr(WindowNetwork(start), name).ravel()
+            values = getattr(own, name).reshape(-1)
+            base = own.log_probability(around, words).astype(np.float64).mean()
+            values[at] += 0.05
+            assert abs(moved[at] / 1e-2 - (own.log_probability(around, words).mean() - base) / 0.05) < 5e-3
+        place = int(around[at, 0])
+        moved = (network.embed[place] - WindowNetwork(start).embed[place]) / 1e-2
+        own = WindowNetwork(start)
+        base = own.log_probability(around, words).sum(dtype=np.float64)
+        own.embed[place, 3] += 0.05
+        count = (around == place).sum()
+        assert abs(moved[3] * np.sqrt(count) - (own.log_probability(around, words).sum(dtype=np.float64) - base) / 0.05) < 2e-2
+
+
+def plain_score(text, model, n):
+    """Word by word from the formulas, in double precision. n: counts of all words by id."""
+    net, own = WindowNetwork(model.flat), dict(zip(model.lexicon.words.tolist(), model.lexicon.symbols.tolist(), strict=True))
+    words = text.lower().split()
+    ids = lm_scoring.word_ids(Words([text], lower=True)).tolist()
+    symbol = [own[i] if i in own else OWN + int(lm_scoring.kinds([w])[0]) for i, w in zip(ids, words, strict=True)]
+    total = 0.0
+    for at, s in enumerate(symbol):
+        near = [symbol[at + d] if 0 <= at + d < len(symbol) else SYMBOLS for d in (-2, -1, 1, 2)]
+        h = np.tanh(sum(net.embed[p * (SYMBOLS + 1) + x].astype(float) for p, x in enumerate(near)))
+        outer, inner = h @ net.rows + net.row_bias, h @ net.columns + net.column_bias[s // EDGE]
+        total += outer[s // EDGE] - np.log(np.exp(outer).sum()) + inner[s % EDGE] - np.log(np.exp(inner).sum())
+        if s >= OWN:
+            total += np.log(n.get(ids[at], 1)) - np.log(1 + model.lexicon.counts[s])
+    return len(words), total
+
+
+def test_scores_equal_plain_sums_whatever_the_layout_and_beat_single_words(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: r for r in lm_scoring.pseudo_likelihood(docs.repartition(1)).collect()}
+    spread = {r.doc_id: r for r in lm_scoring.pseudo_likelihood(docs.repartition(5)).collect()}
+    assert rows == spread
+    model = lm_scoring.trained(docs)
+    n = {r.word: r.n for r in model.vocabulary.collect()}
+    for d, text in [tuple(r) for r in docs.limit(12).collect()]:
+        count, total = plain_score(text.encode(), model, n)
+        assert rows[d].n_words == count and abs(rows[d].log_likelihood - total) < 1e-4 * abs(total) + 1e-2
+    every = np.array(list(n.values()))
+    single = (every * np.log(every / (every.sum() + 1))).sum() / every.sum()
+    assert sum(r.log_likelihood for r in rows.values()) / every.sum() > single + 0.1
+
+
+def test_held_out_text_in_order_is_likelier_than_shuffled(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and n_chars > 400").select("doc_id", "text")
+    model = lm_scoring.trained(docs.where("doc_id % 2 = 0"))
+    rng = np.random.default_rng(3)
+    held = [tuple(r) for r in docs.where("doc_id % 2 = 1").limit(60).collect()]
+    mixed = [(-d, " ".join(rng.permutation(t.split()))) for d, t in held]
+    found = {r.doc_id: r.mean_log_probability for r in lm_scoring.scored(spark.createDataFrame(held + mixed, "doc_id long, text string"), model).collect()}
+    assert np.mean([found[d] > found[-d] for d, _ in held if d]) > 0.9
 
 
 def test_lm_odd_rows(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (3, "a"), (None, "b c " * 20_000)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "a", 1), (3, "a", 1), (None, "b c " * 20_000, 1)], "doc_id long, text string, part int")
     rows = lm_scoring.pseudo_likelihood(docs).collect()
     assert sorted(r.n_words for r in rows) == [0, 0, 1, 1, 40000]
     assert {(r.log_likelihood, r.mean_log_probability) for r in rows if r.n_words == 0} == {(0.0, None)}
     assert lm_scoring.pseudo_likelihood(docs.limit(0)).count() == 0
+    assert lm_scoring.pseudo_likelihood(docs.limit(2)).count() == 2
 
 
 def test_lm_trains_on_every_position_once():
-    from vecspark.llm.tokens import Words
-
-    words = Words([b"a b c " * 3000, None, b"", b"a", b"d e"], lower=True)
-    batches = list(lm_scoring.targets(words))
-    assert sorted(np.concatenate(batches).tolist()) == list(range(9003))
-    assert max(map(len, batches)) <= lm_scoring.BATCH and list(lm_scoring.targets(Words([None]))) == []
+    for n in (0, 1, 5, 2047, 2048, 9003):
+        assert sorted(i for some in lm_scoring.batches_of(n) for i in range(n)[some]) == list(range(n))
+    symbol, around = lm_scoring.windows([np.array([5, 6, 7], np.uint16), np.array([], np.uint16), np.array([8], np.uint16)])
+    assert symbol.tolist() == [5, 6, 7, 8]
+    pad = SYMBOLS
+    assert (around - np.arange(4) * (SYMBOLS + 1)).tolist() == [[pad, pad, 6, 7], [pad, 5, 7, pad], [5, 6, pad, pad], [pad, pad, pad, pad]]
 
 
 def test_lm_vocabulary_counts_every_word_and_leaves_one_case_for_the_unseen(spark, sf_dir):
     from collections import Counter
 
-    from vecspark.llm.tokens import Words
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = lm_scoring.trained(docs.repartition(3))
     counts = Counter(w for r in docs.collect() for w in r.text.encode().lower().split())
     every = sorted(counts)
-    ids, _ = lm_scoring.neighbours(Words([b" ".join(every)]))
-    assert {r.word: r.n for r in model.vocabulary.collect()} == {i: counts[w] for i, w in zip(ids.tolist(), every, strict=True)}
-    assert len(every) > WORDS and model.totals.sum() == sum(counts.values())
-    network = WindowNetwork(model)
-    shares = np.bincount(ids % WORDS, np.exp(network.log_share(ids)), WORDS)
-    assert np.allclose(shares + 1 / (model.totals + 1), 1)
-    # words of one bucket differ, and so do the contexts that they make
-    known = ids[0]
-    unseen = next(i for i in range(known % WORDS, 2**40, WORDS) if i not in set(ids.tolist()))
-    around = np.full((1, 4), lm_scoring.PAD)
-    assert network.log_probability(around, np.array([known]))[0] >= network.log_probability(around, np.array([unseen]))[0]
-    assert (network.own[network.at(np.array([unseen]))] == 0).all() and np.abs(network.own[:-1]).max(axis=1).astype(bool).mean() > 0.9
+    ids = lm_scoring.word_ids(Words([b" ".join(every)])).tolist()
+    assert {r.word: r.n for r in model.vocabulary.collect()} == {i: counts[w] for i, w in zip(ids, every, strict=True)}
+    assert len(every) > SYMBOLS and model.lexicon.counts.sum() == sum(counts.values())
+    own = set(model.lexicon.words.tolist())
+    assert len(own) == OWN and min(counts[w] for i, w in zip(ids, every, strict=True) if i in own) >= max(counts[w] for i, w in zip(ids, every, strict=True) if i not in own)
+    # the shares of a kind's words and of one unseen word sum to one
+    shares = np.zeros(KINDS)
+    for i, w in zip(ids, every, strict=True):
+        if i not in own:
+            k = int(lm_scoring.kinds([w])[0])
+            shares[k] += counts[w] / (1 + model.lexicon.counts[OWN + k])
+    assert np.allclose(shares + 1 / (1 + model.lexicon.counts[OWN:]), 1)
     more = spark.createDataFrame([(1, "neverseenword " * 3), (2, None)], "doc_id long, text string")
     found = {r.doc_id: r for r in lm_scoring.scored(more, model).collect()}
     assert found[1].n_words == 3 and found[1].log_likelihood < 0 and found[2].log_likelihood == 0

@@ -1,17 +1,23 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network, trained here in numpy.
 
-The network predicts a word from the `SIDE` words before and after it: the embeddings of the neighbours are summed,
-pass a tanh, and a softmax of three levels gives its probability: a class, a bucket within the class (words are
-hashed to `WORDS` buckets), and the word within its bucket by its count in the corpus, beside one more count for
-all unseen words. A neighbour's embedding is that of its bucket, one table for each place, and one of the word's own,
-which an unseen word lacks. So every word of the corpus has its probability and its embedding: the vocabulary, a
-written table of words, counts and embeddings, grows with the corpus and is nowhere held as a whole.
-
-Training masks every position of every document once, in `MASK_OF` groups of about a seventh, one group after the
-other in each block of texts. Each task trains from the same start on all of its documents and sends its parameters, weighed by its masked words, and the embeddings of its words, weighed by their
-counts; the averages are the model. Only the parameters of classes and buckets, about 1.5 MB, are collected and
-broadcast. For scoring, documents are dealt into groups of `GROUP_BYTES`, and each meets its own part of the
-vocabulary. Every word of every document is predicted from both sides.
+Words. A scan counts every word of every document into a vocabulary, a written table that grows with the corpus. The
+`OWN` most frequent words are symbols of their own; any other is one of `KINDS` symbols, by its last two bytes.
+
+Network. It predicts a word from the `SIDE` words before and after it. The embeddings of the neighbours' symbols, one
+table for each place, are summed and pass a tanh; two softmaxes give the row and the column of the symbol in a square of
+`EDGE` x `EDGE`, that of the column with a bias for each row. A word that shares its symbol then has its share in the
+symbol by its count in the vocabulary, beside one more count for all unseen words. So probabilities sum to one over the
+vocabulary and one unseen word, and the biases start as the unigram model.
+
+Training masks every position of every document once. Documents are dealt by a hash of themselves into rounds, and
+within a round into groups of about `GROUP_TOKENS`; each group starts from the mean of the round before, and the mean of
+its groups, weighed by tokens, ends a round. Groups and their order come from the rows and not from how they are
+stored, so the scores don't depend on the number of tasks. The parameters, about 1 MB at every size, are collected as
+means of chunks and broadcast.
+
+Scoring. The scan that turns words into symbols also gathers the other words of about `PART_BYTES` of text, whose counts
+are joined, and each part of the documents meets its own words. Every word of every document is predicted from both
+sides.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,314 +35,355 @@ from pyspark.sql import functions as F
 from vecspark.llm.shared import Scratch, load, written
 from vecspark.llm.tokens import Words, blocks, mixed, texts
 
-CLASSES, HIDDEN, SIDE = 64, 16, 2
-WORDS, PAD = CLASSES * CLASSES, -1
-MASK_OF, BATCH, RATE, CHUNKS, SEED = 7, 2048, 3.0, 32, 11
-#: Words with embeddings that a training task holds before it sends them and begins anew; bytes of text of a group.
-MOST_OWN, GROUP_BYTES = 500_000, 8 << 20
-VOCABULARY = pa.schema([("word", pa.int64()), ("n", pa.int64()), ("own", pa.binary())])
+#: Symbols are EDGE * EDGE: the most frequent words and the kinds of others.
+EDGE, OWN, KINDS, HIDDEN, SIDE = 64, 3072, 1024, 16, 2
+SYMBOLS, PLACES = EDGE * EDGE, 2 * SIDE
+BATCH, RATE, EMBEDDING_RATE, CHUNKS, SEED = 2048, 1.0, 0.2, 32, 11
+#: Ends of the rounds in 32nds of the documents: a short first one, so that no later group starts from nothing.
+ROUNDS, GROUP_TOKENS, SPLIT_TOKENS = (1, 8, 32), 1 << 20, 1 << 17
+#: Bytes of text whose words are looked up together, and of a block that is counted at once.
+PART_BYTES = 8 << 20
+
+
+class Lexicon(NamedTuple):
+    """The most frequent words, by hash, their symbols, and the count of each symbol over all documents."""
+
+    words: np.ndarray
+    symbols: np.ndarray
+    counts: np.ndarray
 
 
 class Trained(NamedTuple):
-    """Parameters of classes and buckets, words of the corpus in each bucket, and vocabulary(word, n, own)."""
+    """Parameters, the lexicon, and vocabulary(word, n, kind)."""
 
     flat: np.ndarray
-    totals: np.ndarray
+    lexicon: Lexicon
     vocabulary: DataFrame
 
 
 class WindowNetwork:
-    """embed: (places, buckets and padding, hidden); outer: class weights and biases; inner: those of buckets.
-
-    A word is an id of up to 63 bits, its bucket the remainder by WORDS. word, n and own are the known words in order,
-    their counts and embeddings. Without totals the network gives the probability of the bucket.
-    """
+    """embed: (places x symbols and padding, hidden); rows, columns: weights; row_bias; column_bias: by row."""
 
-    def __init__(self, flat: np.ndarray | Trained | None = None, totals: np.ndarray | None = None, vocabulary: pa.Table | None = None):
-        if isinstance(flat, Trained):
-            flat, totals, vocabulary = flat.flat, flat.totals, flat.vocabulary.toArrow()
-        self.totals = totals
-        self.forget()
-        if vocabulary is not None and vocabulary.num_rows:
-            word, n = vocabulary["word"].to_numpy(), vocabulary["n"].to_numpy()
-            self.word, first = np.unique(word, return_index=True)
-            self.n = n[first]
-            own = np.frombuffer(b"".join(vocabulary["own"].to_pylist()), np.float16).reshape(-1, HIDDEN)
-            self.own = np.concatenate([own[first], np.zeros((1, HIDDEN))]).astype(np.float32)
-        shapes = ((2 * SIDE, WORDS + 1, HIDDEN), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, CLASSES), (CLASSES, CLASSES))
+    def __init__(self, flat: np.ndarray | None = None, counts: np.ndarray | None = None):
+        shapes = ((PLACES * (SYMBOLS + 1), HIDDEN), (HIDDEN, EDGE), (HIDDEN, EDGE), (EDGE,), (EDGE, EDGE))
         sizes = [int(np.prod(s)) for s in shapes]
         if flat is None:
             rng = np.random.default_rng(SEED)
-            flat = np.concatenate([rng.normal(0, 0.3, n) if len(s) == 3 or i == 1 else np.zeros(n) for i, (n, s) in enumerate(zip(sizes, shapes, strict=True))])
+            share = (np.zeros(SYMBOLS) if counts is None else counts) + 1.0
+            square = (share / share.sum()).reshape(EDGE, EDGE)
+            by_row = square.sum(axis=1)
+            flat = np.concatenate([rng.normal(0, 0.1, sum(sizes[:3])), np.log(by_row), np.log(square / by_row[:, None]).ravel()])
         self.flat = np.array(flat, dtype=np.float32)
-        cuts = np.cumsum(sizes)[:-1]
-        self.embed, self.outer, self.outer_bias, self.inner, self.inner_bias = (
-            x.reshape(s) for x, s in zip(np.split(self.flat, cuts), shapes, strict=True)
+        self.embed, self.rows, self.columns, self.row_bias, self.column_bias = (
+            x.reshape(s) for x, s in zip(np.split(self.flat, np.cumsum(sizes)[:-1]), shapes, strict=True)
         )
 
-    def forget(self) -> None:
-        """Know no words; the last row of own is that of all unseen words and stays zero."""
-        self.word, self.n, self.own = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((1, HIDDEN), np.float32)
-
-    def meet(self, ids: np.ndarray) -> None:
-        """Count words, the new ones with an embedding of zero."""
-        word, n = np.unique(ids, return_counts=True)
-        new = word[self.at(word) == len(self.word)]
-        where = np.searchsorted(self.word, new)
-        self.word, self.n = np.insert(self.word, where, new), np.insert(self.n, where, 0)
-        self.own = np.insert(self.own, where, 0, axis=0)
-        self.n[self.at(word)] += n
-
-    def at(self, ids: np.ndarray) -> np.ndarray:
-        """Rows of own."""
-        if not len(self.word):
-            return np.zeros(ids.shape, dtype=np.int64)
-        found = np.searchsorted(self.word, ids)
-        found[self.word[np.minimum(found, len(self.word) - 1)] != ids] = len(self.word)
-        return found
-
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        bucket = buckets(around)
-        total = self.own[self.at(around)].sum(axis=1)
-        for place in range(2 * SIDE):
-            total = total + self.embed[place][bucket[:, place]]
-        return np.tanh(total)
-
-    def log_share(self, word: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the shares of words in their buckets; all unseen words count as one occurrence."""
-        if self.totals is None:
-            return np.zeros(len(word))
-        return np.log(np.append(self.n, 1)[self.at(word)]) - np.log1p(self.totals[word % WORDS])
-
-    @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
-        x -= x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-    def log_probability(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the probabilities of words between their neighbours."""
-        share, word = self.log_share(word), word % WORDS
-        h, kind = self.hidden(around), word // CLASSES
-        out = self._log_softmax(h @ self.outer + self.outer_bias)[np.arange(len(word)), kind]
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[cuts[c] : cuts[c + 1]]
-            if len(at):
-                within = self._log_softmax(h[at] @ self.inner[c] + self.inner_bias[c])
-                out[at] += within[np.arange(len(at)), word[at] % CLASSES]
-        return out + share
-
-    def train(self, around: np.ndarray, word: np.ndarray, rate: float = RATE) -> None:
-        """One step of gradient ascent on the mean log-probability."""
-        word = word % WORDS
-        n, kind = len(word), word // CLASSES
-        h = self.hidden(around)
-        up = -np.exp(self._log_softmax(h @ self.outer + self.outer_bias))
-        up[np.arange(n), kind] += 1
-        dh = up @ self.outer.T
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[cuts[c] : cuts[c + 1]]
-            if len(at):
-                inner = -np.exp(self._log_softmax(h[at] @ self.inner[c] + self.inner_bias[c]))
-                inner[np.arange(len(at)), word[at] % CLASSES] += 1
-                dh[at] += inner @ self.inner[c].T
-                # a class sees few of the batch, so its step is that of the mean over its own words
-                self.inner[c] += rate * (h[at].T @ inner) / np.sqrt(len(at) * n)
-                self.inner_bias[c] += rate * inner.sum(axis=0) / np.sqrt(len(at) * n)
-        self.outer += rate * (h.T @ up) / n
-        self.outer_bias += rate * up.sum(axis=0) / n
-        back = (dh * (1 - h * h) * (rate / np.sqrt(n))).astype(np.float32)
-        back, bucket, own = np.clip(back, -0.1, 0.1), buckets(around), self.at(around)
-        for place in range(2 * SIDE):
-            np.add.at(self.embed[place], bucket[:, place], back)
-            np.add.at(self.own, own[:, place], back)
-        self.own[-1] = 0
-
-
-def buckets(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids == PAD, WORDS, ids % WORDS)
-
-
-def neighbours(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of a block, by a hash of 63 bits, and those around each; PAD beyond a document's ends."""
-    ids = (mixed(words.hashes) >> np.uint64(1)).astype(np.int64)
-    n = len(ids)
-    doc = np.repeat(np.arange(len(words.lens)), words.lens)
-    around = np.full((n, 2 * SIDE), PAD, dtype=np.int64)
-    place = 0
-    for step in (*range(-SIDE, 0), *range(1, SIDE + 1)):
-        at = np.arange(n) + step
-        inside = (at >= 0) & (at < n)
-        inside[inside] &= doc[at[inside]] == doc[inside]
-        around[inside, place] = ids[at[inside]]
-        place += 1
-    return ids, around
-
-
-def targets(words: Words) -> Iterator[np.ndarray]:
-    """Positions of a block in batches, group by group: each is in exactly one batch."""
-    place = np.arange(len(words.hashes)) - np.repeat(words.starts, words.lens)
-    group = mixed(words.hashes + place.astype(np.uint64)) % np.uint64(MASK_OF)
-    for g in range(MASK_OF):
-        masked = np.flatnonzero(group == g)
-        for at in range(0, len(masked), BATCH):
-            yield masked[at : at + BATCH]
-
-
-def trained(docs: DataFrame) -> Trained:
-    """The averaged parameters, or the start itself if there are no words, and the vocabulary."""
-    sending = pa.schema([("chunk", pa.int32()), ("word", pa.int64()), ("task", pa.int32()), ("seen", pa.int64()), ("part", pa.binary())])
+    def _forward(self, around: np.ndarray, symbol: np.ndarray) -> tuple:
+        """Hidden layer, row and column of the symbol, exponentials of both layers and their sums, log-probability."""
+        total = self.embed[around[:, 0]]
+        for place in range(1, PLACES):
+            total += self.embed[around[:, place]]
+        h, row, column, at = np.tanh(total), symbol // EDGE, symbol % EDGE, np.arange(len(symbol))
+        outer, inner = h @ self.rows, h @ self.columns
+        outer += self.row_bias
+        inner += self.column_bias[row]
+        np.clip(outer, -80, 60, out=outer)
+        np.clip(inner, -80, 60, out=inner)
+        log = outer[at, row] + inner[at, column]
+        np.exp(outer, out=outer)
+        np.exp(inner, out=inner)
+        sums = outer.sum(axis=1), inner.sum(axis=1)
+        return h, row, column, outer, inner, sums, log - np.log(sums[0]) - np.log(sums[1])
+
+    def log_probability(self, around: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probabilities of symbols between their neighbours (rows of embed)."""
+        return self._forward(around, symbol)[-1]
+
+    def train(self, around: np.ndarray, symbol: np.ndarray, rate: float = RATE, embedding_rate: float = EMBEDDING_RATE) -> None:
+        """One step of gradient ascent. Sums over a row or an embedding's few positions count by their root."""
+        h, row, column, outer, inner, sums, _ = self._forward(around, symbol)
+        n, at = len(symbol), np.arange(len(symbol))
+        outer *= (-1 / sums[0])[:, None]
+        inner *= (-1 / sums[1])[:, None]
+        outer[at, row] += 1
+        inner[at, column] += 1
+        back = outer @ self.rows.T
+        back += inner @ self.columns.T
+        back *= 1 - h * h
+        self.rows += (rate / n) * (h.T @ outer)
+        self.columns += (rate / n) * (h.T @ inner)
+        self.row_bias += (rate / n) * outer.sum(axis=0)
+        which, order, first, count = _runs(row.astype(np.uint16))
+        self.column_bias[which] += (rate / np.sqrt(count * n)).astype(np.float32)[:, None] * np.add.reduceat(inner[order], first)
+        which, order, first, count = _runs(around.T.ravel().astype(np.uint16))
+        self.embed[which] += (embedding_rate / np.sqrt(count)).astype(np.float32)[:, None] * np.add.reduceat(back[order % n], first)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, the order that sorts all, where each begins in it, and how often it occurs."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[first], order, first, np.diff(np.append(first, len(values)))
+
+
+def word_ids(words: Words) -> np.ndarray:
+    return (mixed(words.hashes) >> np.uint64(1)).astype(np.int64)
+
+
+def kinds(words: list[bytes]) -> np.ndarray:
+    ends = np.empty(len(words), dtype=object)
+    ends[:] = [w[-2:] for w in words]
+    return (pd.util.hash_array(ends, categorize=False) % np.uint64(KINDS)).astype(np.int64) if words else np.zeros(0, np.int64)
+
+
+def symbols(words: Words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol of every word, and its id, or -1 where the symbol is its own."""
+    ids = word_ids(words)
+    own = np.zeros(len(ids), dtype=bool)
+    out = np.zeros(len(ids), dtype=np.uint16)
+    if len(lexicon.words) and len(ids):
+        at = np.minimum(np.searchsorted(lexicon.words, ids), len(lexicon.words) - 1)
+        own = lexicon.words[at] == ids
+        out[own] = lexicon.symbols[at[own]]
+    every = [w for some in words.lists for w in some]
+    out[~own] = OWN + kinds([every[i] for i in np.flatnonzero(~own).tolist()])
+    return out, np.where(own, -1, ids)
+
+
+def windows(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of some documents, end to end, and the rows of embed of those around each; padding beyond the ends."""
+    gap, parts = np.full(SIDE, SYMBOLS, dtype=np.uint16), []
+    for some in documents:
+        parts += [gap, some]
+    line = np.concatenate([*parts, gap]).astype(np.int64)
+    at = np.flatnonzero(line != SYMBOLS)
+    steps = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
+    return line[at], line[at[:, None] + steps] + np.arange(PLACES) * (SYMBOLS + 1)
+
+
+def batches_of(n: int) -> Iterator[slice]:
+    """All positions of a block, each in one batch; those of a batch stand far apart."""
+    step = max(1, n // BATCH)
+    for first in range(min(step, n)):
+        yield slice(first, None, step)
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(word, n, kind) of every word of docs(text)."""
+
+    def scan(batches):
+        for batch in batches:
+            for block in blocks(batch, limit=PART_BYTES):
+                words = Words(texts(block), lower=True)
+                word, first, n = np.unique(word_ids(words), return_index=True, return_counts=True)
+                every = [w for some in words.lists for w in some]
+                kind = kinds([every[i] for i in first.tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n), pa.array(kind)], names=["word", "n", "kind"])
+
+    found = docs.select("text").mapInArrow(scan, "word long, n long, kind long")
+    return found.groupBy("word").agg(F.sum("n").cast("long").alias("n"), F.min("kind").alias("kind"))
+
+
+def lexicon_of(vocabulary: DataFrame) -> Lexicon:
+    """Collects OWN words and the totals of KINDS."""
+    top = vocabulary.orderBy(F.desc("n"), "word").limit(OWN).collect()
+    counts = np.zeros(SYMBOLS, dtype=np.int64)
+    for kind, n in vocabulary.groupBy("kind").agg(F.sum("n")).collect():
+        counts[OWN + kind] = n
+    for symbol, row in enumerate(top):
+        counts[symbol] = row.n
+        counts[OWN + row.kind] -= row.n
+    words = np.array([r.word for r in top], dtype=np.int64)
+    order = np.argsort(words)
+    return Lexicon(words[order], order.astype(np.uint16), counts)
+
+
+def encoded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(part, doc_id, n_words, symbols, rare, words): a row for each document, with its symbols and the ids of words
+    without one of their own as binary; and, last of a part, a row that has the distinct ids of these in words."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["part", "doc_id", "n_words", "symbols", "rare", "words"]
 
-    def learn(batches):
-        network, seen, task = WindowNetwork(), 0, TaskContext.get().partitionId()
+    def scan(batches):
+        part, size, seen, arrow = TaskContext.get().partitionId() << 32, 0, [], pa.null()
 
-        def known():
-            for at in range(0, len(network.word), 50_000):
-                word = network.word[at : at + 50_000]
-                own = [x.tobytes() for x in network.own[at : at + len(word)].astype(np.float16)]
-                columns = [pa.nulls(len(word), pa.int32()), pa.array(word), pa.array(np.full(len(word), task, np.int32)), pa.array(network.n[at : at + len(word)]), pa.array(own, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, schema=sending)
-            network.forget()
+        def last():
+            words = np.unique(np.concatenate(seen))
+            columns = [[part], [None], [None], [None], [None], [words]]
+            types = (pa.int64(), arrow, pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
         for batch in batches:
+            arrow = batch.schema.field("doc_id").type
             for block in blocks(batch):
                 words = Words(texts(block), lower=True)
-                ids, around = neighbours(words)
-                network.meet(ids)
-                for some in targets(words):
-                    network.train(around[some], ids[some])
-                seen += len(ids)
-                if len(network.word) >= MOST_OWN:
-                    yield from known()
-        yield from known()
+                symbol, rare = symbols(words, shared.value)
+                spans = list(zip(words.starts.tolist(), words.ends.tolist(), strict=True))
+                rows = len(words.lens)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(rows, part)),
+                        block.column("doc_id"),
+                        pa.array(words.lens),
+                        pa.array([symbol[a:b].tobytes() for a, b in spans], pa.binary()),
+                        pa.array([(x := rare[a:b])[x >= 0].tobytes() for a, b in spans], pa.binary()),
+                        pa.nulls(rows, pa.list_(pa.int64())),
+                    ],
+                    names=names,
+                )
+                seen.append(np.unique(rare[rare >= 0]))
+                size += block.column("text").nbytes
+                if size >= PART_BYTES:
+                    yield last()
+                    part, size, seen = part + 1, 0, []
         if seen:
-            parts = np.array_split(network.flat, CHUNKS)
-            yield pa.RecordBatch.from_pydict(
-                {"chunk": list(range(CHUNKS)), "word": [None] * CHUNKS, "task": [task] * CHUNKS, "seen": [seen] * CHUNKS, "part": [p.tobytes() for p in parts]},
-                schema=sending,
-            )
-
-    def average(batches):
-        sums: dict[int, list] = {}
-        for batch in batches:
-            for chunk, seen, part in zip(*(batch.column(c).to_pylist() for c in ("chunk", "seen", "part")), strict=True):
-                held = sums.setdefault(chunk, [0, 0.0])
-                held[0] += seen
-                held[1] = held[1] + seen * np.frombuffer(part, np.float32).astype(np.float64)
-        if sums:
-            yield pa.RecordBatch.from_pydict(
-                {"chunk": list(sums), "part": [(s / n).astype(np.float32).tobytes() for n, s in sums.values()]},
-                schema=pa.schema([("chunk", pa.int32()), ("part", pa.binary())]),
-            )
-
-    def merge(batches):
-        held = None  # the last word of a batch, which may go on in the next
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            word, n = batch.column("word").to_numpy(), batch.column("seen").to_numpy()
-            own = np.frombuffer(b"".join(batch.column("part").to_pylist()), np.float16).reshape(-1, HIDDEN) * n[:, None].astype(np.float64)
-            if held is not None:
-                word, n, own = (np.concatenate([x, y]) for x, y in zip(held, (word, n, own), strict=True))
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            word, n, own = word[first], np.add.reduceat(n, first), np.add.reduceat(own, first)
-            held = word[-1:], n[-1:], own[-1:]
-            yield rows(word[:-1], n[:-1], own[:-1])
-        if held is not None:
-            yield rows(*held)
-
-    def rows(word, n, own):
-        means = (own / n[:, None]).astype(np.float16)
-        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n), pa.array([x.tobytes() for x in means], pa.binary())], schema=VOCABULARY)
+            yield last()
+
+    return docs.select("doc_id", "text").mapInArrow(scan, f"part long, doc_id {kind}, n_words long, symbols binary, rare binary, words array<long>")
+
+
+def learned(table: DataFrame, lexicon: Lexicon, scratch: Scratch) -> np.ndarray:
+    """The parameters after all rounds over an encoded table."""
+    total = table.agg(F.sum("n_words")).first()[0] or 0
+    flat = WindowNetwork(counts=lexicon.counts).flat
+    key = F.xxhash64("doc_id", "symbols")
+    every = table.where("n_words > 0").select(key.alias("key"), "symbols")
+    names = ["group", "chunk", "seen", "part"]
+    before = 0
+    for round_, upto in enumerate(ROUNDS):
+        share = F.pmod("key", F.lit(ROUNDS[-1]))
+        groups = max(1, -(-total * (upto - before) // (ROUNDS[-1] * GROUP_TOKENS)))
+        start = table.sparkSession.sparkContext.broadcast(flat)
+
+        def learn(batches, start=start):
+            group, network, held, size, seen = None, None, [], 0, 0
+
+            def step():
+                symbol, around = windows(held)
+                for some in batches_of(len(symbol)):
+                    network.train(around[some], symbol[some])
+
+            def sent():
+                if held:
+                    step()
+                parts = [p.tobytes() for p in np.array_split(network.flat, CHUNKS)]
+                columns = [[group] * CHUNKS, list(range(CHUNKS)), [seen] * CHUNKS, parts]
+                return pa.RecordBatch.from_pydict(dict(zip(names, columns, strict=True)), schema=sending)
+
+            for batch in batches:
+                for of, raw in zip(batch.column("group").to_pylist(), batch.column("symbols").to_pylist(), strict=True):
+                    if of != group:
+                        if group is not None:
+                            yield sent()
+                        group, network, held, size, seen = of, WindowNetwork(start.value), [], 0, 0
+                    held.append(np.frombuffer(raw, np.uint16))
+                    size, seen = size + len(held[-1]), seen + len(held[-1])
+                    if size >= SPLIT_TOKENS:
+                        step()
+                        held, size = [], 0
+            if group is not None:
+                yield sent()
+
+        sending = pa.schema([("group", pa.int64()), ("chunk", pa.int32()), ("seen", pa.int64()), ("part", pa.binary())])
+        rows = every.where((share >= before) & (share < upto)).withColumn("group", F.pmod(F.shiftrightunsigned("key", 16), F.lit(groups)))
+        dealt = rows.repartition(groups, "group").sortWithinPartitions("group", "key", "symbols")
+        sent = scratch.put(dealt.select("group", "symbols").mapInArrow(learn, "group long, chunk int, seen long, part binary"), f"round{round_}")
+        by_chunk = sent.repartition("chunk").sortWithinPartitions("chunk", "group").select("chunk", "seen", "part")
+        parts = sorted(by_chunk.mapInArrow(averaged, "chunk int, part binary").collect())
+        if parts:
+            flat = np.concatenate([np.frombuffer(r.part, np.float32) for r in parts])
+        scratch.drop(f"round{round_}")
+        start.unpersist()
+        before = upto
+    return flat
+
+
+def averaged(batches):
+    """(chunk, part): the mean of each chunk's parts, weighed by what each has seen."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for chunk, seen, part in zip(*(batch.column(c).to_pylist() for c in ("chunk", "seen", "part")), strict=True):
+            held = sums.setdefault(chunk, [0, 0.0])
+            held[0] += seen
+            held[1] = held[1] + seen * np.frombuffer(part, np.float32).astype(np.float64)
+    if sums:
+        yield pa.RecordBatch.from_pydict(
+            {"chunk": list(sums), "part": [(s / n).astype(np.float32).tobytes() for n, s in sums.values()]},
+            schema=pa.schema([("chunk", pa.int32()), ("part", pa.binary())]),
+        )
+
 
+def _trained(docs: DataFrame) -> tuple[Trained, DataFrame]:
     scratch = Scratch(docs.sparkSession, "lm")
-    sent = scratch.put(docs.select("text").mapInArrow(learn, "chunk int, word long, task int, seen long, part binary"), "sent")
-    dealt = sent.where("chunk is not null").repartition("chunk").sortWithinPartitions("chunk", "task")
-    parts = sorted(dealt.select("chunk", "seen", "part").mapInArrow(average, "chunk int, part binary").collect())
-    flat = np.concatenate([np.frombuffer(r.part, np.float32) for r in parts]) if parts else WindowNetwork().flat
-    dealt = sent.where("word is not null").repartition("word").sortWithinPartitions("word", "task", "seen")
-    vocabulary = scratch.result(dealt.select("word", "seen", "part").mapInArrow(merge, "word long, n long, own binary"), "vocabulary")
-    totals = np.zeros(WORDS, dtype=np.int64)
-    for bucket, n in vocabulary.groupBy(F.pmod("word", F.lit(WORDS)).cast("int")).agg(F.sum("n")).collect():
-        totals[bucket] = n
-    return Trained(flat, totals, vocabulary)
+    vocabulary = written(counted(docs), "vocabulary")
+    lexicon = lexicon_of(vocabulary)
+    table = written(encoded(docs, lexicon), "encoded")
+    return Trained(learned(table, lexicon, scratch), lexicon, vocabulary), table
+
+
+def trained(docs: DataFrame) -> Trained:
+    """The model of docs(doc_id, text); without words, uniform over symbols."""
+    return _trained(docs)[0]
+
+
+def scores(table: DataFrame, model: Trained) -> DataFrame:
+    """The scores of an encoded table. Words that the vocabulary lacks count as the one unseen word of their symbol."""
+    small = table.sparkSession.sparkContext.broadcast((model.flat, model.lexicon.counts))
+    kind = table.schema["doc_id"].dataType.simpleString()
+    known = table.where("words is not null").select(F.col("part").alias("in_part"), F.explode("words").alias("word")).join(model.vocabulary.select("word", "n"), "word")
+    names = ["doc_id", "n_words", "log_likelihood", "log_share", "mean_log_probability", "perplexity"]
+
+    def score(rows: pa.Table, looked_up: pa.Table) -> pa.Table:
+        flat, counts = small.value
+        network = WindowNetwork(flat)
+        word, n = looked_up["word"].to_numpy(), looked_up["n"].to_numpy()
+        order = np.argsort(word)
+        word, logs = np.append(word[order], 2**63 - 1), np.append(np.log(n[order]), 0.0)
+        whole = np.log1p(counts)
+        symbol = [np.frombuffer(x, np.uint16) for x in rows["symbols"].to_pylist()]
+        total, share = [], []
+        for at in range(0, len(symbol), 64):
+            some = symbol[at : at + 64]
+            line, around = windows(some)
+            each = np.zeros(len(line) + 1)
+            for a in range(0, len(line), BATCH):
+                each[a : a + len(line[a : a + BATCH])] = network.log_probability(around[a : a + BATCH], line[a : a + BATCH])
+            ends = np.cumsum([len(x) for x in some])
+            total += [float(each[b - len(x) : b].sum()) for x, b in zip(some, ends.tolist(), strict=True)]
+        for own, raw in zip(symbol, rows["rare"].to_pylist(), strict=True):
+            ids = np.frombuffer(raw, np.int64)
+            found = np.searchsorted(word, ids)
+            seen = np.where(word[found] == ids, logs[found], 0.0)
+            share.append(float(seen.sum() - whole[own[own >= OWN]].sum()))
+        lens = rows["n_words"].to_pylist()
+        total = [t + s for t, s in zip(total, share, strict=True)]
+        mean = [t / n if n else None for t, n in zip(total, lens, strict=True)]
+        perplexity = [None if m is None else float(np.exp(-m)) for m in mean]
+        columns = [pa.array(total, pa.float64()), pa.array(share, pa.float64()), pa.array(mean, pa.float64()), pa.array(perplexity, pa.float64())]
+        return pa.table([rows["doc_id"], pa.array(lens, pa.int64()), *columns], names=names)
+
+    return table.where("words is null").drop("words").groupBy("part").cogroup(known.groupBy("in_part")).applyInArrow(
+        score, f"doc_id {kind}, n_words long, log_likelihood double, log_share double, mean_log_probability double, perplexity double"
+    )
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, log_likelihood, mean_log_probability, perplexity) of every row of docs(doc_id, text).
+    """(doc_id, n_words, log_likelihood, log_share, mean_log_probability, perplexity) of every row of docs(doc_id, text).
 
-    A text that is null or has no words has a log_likelihood of 0 and a null mean and perplexity. Equal texts have
-    equal scores. A-Z are lower-cased.
+    log_likelihood sums over all words of a text, however long; log_share is the part of it that shares of words in
+    their symbols make. A text that is null or has no words has 0 for both and a null mean and perplexity. Equal texts
+    have equal scores; repeated rows and null ids are rows of their own. An empty table has none. A-Z are lower-cased.
+    Other columns are ignored.
     """
-    return scored(docs, trained(docs))
+    model, table = _trained(docs)
+    return scores(table, model)
 
 
 def scored(docs: DataFrame, model: Trained) -> DataFrame:
     """pseudo_likelihood of docs under a model, perhaps of another corpus."""
-    small = docs.sparkSession.sparkContext.broadcast((model.flat, model.totals))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def deal(batches):
-        group, held = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            for block in blocks(batch):
-                size = block.column("text").nbytes
-                if held and held + size > GROUP_BYTES:
-                    group, held = group + 1, 0
-                held += size
-                yield pa.RecordBatch.from_arrays([*block.columns, pa.array(np.full(len(block), group))], names=["doc_id", "text", "part"])
-
-    def distinct(batches):
-        group, held = None, []
-        for batch in batches:
-            for block in blocks(batch):
-                at = block.column("part").to_numpy()
-                cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    if at[a] != group:
-                        yield from pairs(group, held)
-                        group, held = at[a], []
-                    held.append(np.unique(neighbours(Words(texts(block.slice(a, b - a)), lower=True))[0]))
-        yield from pairs(group, held)
-
-    def pairs(group, held):
-        word = np.unique(np.concatenate(held)) if held else []
-        if len(word):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), group)), pa.array(word)], names=["part", "word"])
-
-    def score(table: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        network, out = WindowNetwork(*small.value, vocabulary), []
-        for batch in table.to_batches():
-            for block in blocks(batch):
-                words = Words(texts(block), lower=True)
-                ids, around = neighbours(words)
-                each = np.zeros(len(ids) + 1)
-                for at in range(0, len(ids), BATCH):
-                    each[at : at + len(ids[at : at + BATCH])] = network.log_probability(around[at : at + BATCH], ids[at : at + BATCH])
-                total = [float(each[a:b].sum()) for a, b in zip(words.starts, words.ends, strict=True)]
-                mean = [t / n if n else None for t, n in zip(total, words.lens.tolist(), strict=True)]
-                out.append(
-                    pa.RecordBatch.from_arrays(
-                        [
-                            block.column("doc_id"),
-                            pa.array(words.lens),
-                            pa.array(total, pa.float64()),
-                            pa.array(mean, pa.float64()),
-                            pa.array([None if m is None else float(np.exp(-m)) for m in mean], pa.float64()),
-                        ],
-                        names=["doc_id", "n_words", "log_likelihood", "mean_log_probability", "perplexity"],
-                    )
-                )
-        return pa.Table.from_batches(out)
-
-    dealt = written(docs.select("doc_id", "text").mapInArrow(deal, f"doc_id {kind}, text string, part long"), "dealt")
-    known = dealt.mapInArrow(distinct, "part long, word long").join(model.vocabulary, "word").select("part", "word", "n", "own")
-    return dealt.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(
-        score, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_probability double, perplexity double"
-    )
+    return scores(written(encoded(docs, model.lexicon), "encoded"), model)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
