@@ -67,3 +67,38 @@ def repeats(rows, window):
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out)
+
+
+def repeat_words(text):
+    """Words in windows of three that a text holds twice or more."""
+    w = words(text)
+    count = {}
+    for i in range(len(w) - 2):
+        count.setdefault(tuple(w[i : i + 3]), []).append(i)
+    return len({j for at in count.values() if len(at) > 1 for i in at for j in range(i, i + 3)})
+
+
+def rules(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, cleaned), line by line."""
+    text = text or ""
+    phrases = ["all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies", "enable javascript", "click here", "sign up", "log in"]
+    phrases += ["subscribe to", "newsletter", "read more", "share this", "skip to content", "back to top", "lorem ipsum"]
+    seen, good, repeats = set(), [], 0
+    for line in text.split("\n"):
+        if not words(line):
+            continue
+        if line in seen:
+            repeats += 1
+            continue
+        seen.add(line)
+        bare = line.strip(" \t\n\x0b\x0c\r")
+        size = len(bare)
+        bars, symbols, capitals = (sum(bare.count(c) for c in some) for some in ("|»›•→", "#*$%&<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        found = any(re.search(r"(?<![0-9A-Za-z_])" + p, bare.lower()) for p in phrases)
+        if bare[-1] in ".!?:;,-…。！？\"'”’»)]" and 30 * bars < size and 5 * symbols < size and (size < 20 or 5 * capitals < 2 * size) and not found:
+            good.append(bare)
+    n, chars = len(words(text)), sum(map(len, words(text)))
+    again = repeat_words(text)
+    failed = n < 50 or 2 * again > n
+    kept = not failed and 2 * sum(len(x) for line in good for x in words(line)) >= chars
+    return n, chars, sum(text.count(c) for c in "#*$%&|<>"), repeats, again, failed, kept, "\n".join(good)

@@ -34,14 +34,45 @@ def test_rules_on_odd_rows(spark):
     assert quality_rules.apply_rules(spark.createDataFrame([], SCHEMA)).columns == ["doc_id", "text", "source", "size"]
 
 
+#: Windows "a105453 b c" and "a221927 b c" have the same lower 34 bits of their hashes.
+COLLIDING = "a105453 b c u1 u2 u3 a221927 b c v1 v2 v3 a105453 b c"
+
+
 def test_repeated_windows(spark):
-    texts = ["a b c a b c", "a a a a", "a b c d e", "x a b c y a b c z", "a b a b a"]
+    texts = ["a b c a b c", "a a a a", "a b c d e", "x a b c y a b c z", "a b a b a", COLLIDING, f"{COLLIDING} a221927 b c", "a105453 b c a221927 b c", f"{COLLIDING} a b a b a b"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for row in quality_rules.measured(docs).collect():
-        w = brute.words(texts[row.doc_id])
-        often = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
-        covered = {j for i in range(len(w) - 2) if often[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
-        assert row.n_repeat_words == len(covered)
+        assert row.n_repeat_words == brute.repeat_words(texts[row.doc_id])
+
+
+def test_rules_against_a_plain_version(spark, sf_dir):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    extra = {-1: COLLIDING * 4, -2: "Home | About | Login\n" + "This is a sentence of some words. " * 20, -3: "\n".join(f"A line that ends well {i} times over." for i in range(30)) + "\nRead more\nHome\n" + "x " * 5}
+    docs = spark.createDataFrame(list((rows | extra).items()), "doc_id long, text string")
+    for r in quality_rules.judged(docs).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, r.cleaned) == brute.rules((rows | extra)[r.doc_id])
+
+
+def test_rejected_documents_and_failed_lines_go(spark):
+    sentences = "\n".join(f"Line number {i} says w{i} x{i} y{i} and then stops." for i in range(20))
+    text = f"Home | About | Login\n  {sentences}\nClick here to go on.\n"
+    schema = "doc_id long, text string, n_words string, kept string, _words int, n_chars int, `a.b` int"
+    docs = spark.createDataFrame([(1, text, "mine", "own", 7, 3, 4), (1, text, "mine", "own", 7, 3, 4), (None, text, None, None, None, None, None), (3, None, "x", "y", 1, 1, 1)], schema)
+    out = quality_rules.apply_rules(docs)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, sentences, "mine", "own", 7, len(sentences), 4)] * 2 + [(None, sentences, None, None, None, len(sentences), None)], key=str)
+
+
+def test_a_filter_on_verdicts_stays_above_the_measures(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = quality_rules.judged(docs)
+    assert found.where("kept and n_repeat_words >= 0 and not base_failed").count() == sum(r.kept for r in found.select("kept").collect())
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    with redirect_stdout(plan := StringIO()):
+        found.where("kept").select("doc_id").explain()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan.getvalue()
 
 
 def test_mix_on_odd_rows(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The six white-space characters between words, \x20 and \x09-\x0D.
@@ -12,6 +12,12 @@ POSITION_BITS = 30
 POSITION_MASK = (1 << POSITION_BITS) - 1
 
 
+def aside(docs: DataFrame, prefix: str = "_in") -> tuple[DataFrame, dict[str, Column]]:
+    """docs with its columns renamed by number, and these by their own names: they clash with none that is added."""
+    names = {c: f"{prefix}{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), {c: F.col(n) for c, n in names.items()}
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

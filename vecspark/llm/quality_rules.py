@@ -52,12 +52,44 @@ def line_passes(line: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the kept lines (_lines),
-    without white space around them.
+def repeated_windows(hashes: str, packed: str) -> Column:
+    """Positions of the windows of a text whose hash another one has, of window hashes and these sorted with positions.
 
-    A null text counts as empty. Columns of docs of these names are replaced.
+    What is sorted has 34 bits of a hash. Neighbours of equal bits are compared by the whole hash; where these differ,
+    so that equal windows may stand apart, every window of those bits is held against all others of them.
     """
+    h, s = F.col(hashes), F.col(packed)
+
+    def bits(x: Column) -> Column:
+        return F.shiftright(x, native.POSITION_BITS)
+
+    def whole(x: Column) -> Column:
+        return F.get(h, native.position(x))
+
+    def with_next(x: Column, i: Column) -> Column:
+        after = F.get(s, i + 1)
+        return F.when(bits(x) == bits(after), F.when(whole(x) == whole(after), F.lit(1)).otherwise(F.lit(2))).otherwise(F.lit(0))
+
+    codes = F.transform(s, with_next)
+    return F.transform(
+        F.array(F.struct(codes.alias("codes"))),
+        lambda t: F.transform(
+            F.array(F.struct(
+                F.filter(s, lambda x, i: (F.get(t.codes, i) == 1) | (F.coalesce(F.get(t.codes, i - 1), F.lit(0)) == 1)).alias("near"),
+                F.transform(F.filter(s, lambda x, i: F.get(t.codes, i) == 2), bits).alias("mixed"),
+            )),
+            lambda u: F.when(F.size(u.mixed) == 0, u.near).otherwise(F.array_union(u.near, _equal_among(F.filter(s, lambda x: F.array_contains(u.mixed, bits(x))), whole))),
+        )[0],
+    )[0]
+
+
+def _equal_among(some: Column, whole) -> Column:
+    return F.filter(some, lambda x: F.exists(some, lambda y: (x != y) & (whole(x) == whole(y))))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """docs(text) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the kept lines (_lines),
+    without white space around them. A null text counts as empty."""
     text = native.text_or_empty()
     squeezed = F.regexp_replace(text, r"[\x20\x09-\x0D]", "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(bare(x)) > 0)
@@ -69,18 +101,12 @@ def measured(docs: DataFrame) -> DataFrame:
     )
     two = one.withColumn("n_words", F.size("_words").cast("long")).withColumn("_hashes", native.window_hashes("_words", 3))
     three = two.withColumn("_distinct", F.array_distinct("_lines")).withColumn("_sorted", native.sorted_with_positions("_hashes")).drop("_words")
-    s, h = F.col("_sorted"), F.col("_hashes")
-
-    def equal(x: Column, other: Column) -> Column:
-        near = F.shiftright(x, native.POSITION_BITS) == F.shiftright(other, native.POSITION_BITS)
-        return F.coalesce(near & (F.get(h, native.position(x)) == F.get(h, native.position(other))), F.lit(False))
-
-    repeated = F.filter(s, lambda x, i: equal(x, F.get(s, i - 1)) | equal(x, F.get(s, i + 1)))
-    four = three.withColumn("_at", F.sort_array(F.transform(repeated, native.position))).drop("_sorted", "_hashes")
+    four = three.withColumn("_repeated", repeated_windows("_hashes", "_sorted")).drop("_sorted", "_hashes")
+    five = four.withColumn("_at", F.sort_array(F.transform("_repeated", native.position))).drop("_repeated")
     at = F.col("_at")
     spans = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3))))
     return (
-        four.withColumn("n_repeat_words", F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x))
+        five.withColumn("n_repeat_words", F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size("_distinct")).cast("long"))
         .withColumn("_lines", F.filter(F.transform("_distinct", bare), line_passes))
         .drop("_at", "_distinct")
@@ -91,30 +117,41 @@ def judged(docs: DataFrame, min_kept: int = MIN_KEPT) -> DataFrame:
     """docs with the measures, kept_chars, base_failed, kept and cleaned (the kept lines).
 
     base_failed: under 50 words, or over half of them in repeated 3-word windows. A text that is null, empty or
-    without words has all counts 0, is base_failed and not kept. Repeated rows are judged alike, each on its own.
+    without words has all counts 0, is base_failed and not kept. A very long text is judged whole. Repeated rows are
+    judged alike, each on its own, and an empty table has none. Columns of docs that have the names of results are
+    replaced; any others, whatever their names, stay.
+
+    The results hang on a row number, which is not deterministic, so that the optimizer leaves a filter on them above
+    the measures instead of copying these, each array once for each of its elements.
     """
     kept_chars = F.aggregate(
         F.transform("_lines", lambda x: F.length(F.translate(x, native.SPACE, ""))), F.lit(0).cast("long"), lambda a, x: a + x
     )
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        measured(docs)
+    results = (*MEASURES, "cleaned")
+    renamed, own = native.aside(docs)
+    found = (
+        measured(renamed.withColumn("text", own["text"]))
         .withColumn("kept_chars", kept_chars)
         .withColumn("base_failed", base)
         .withColumn("kept", ~base & (100 * F.col("kept_chars") >= min_kept * F.col("word_chars")))
         .withColumn("cleaned", F.array_join("_lines", "\n"))
-        .drop("_lines")
     )
+    others = [column.alias(c) for c, column in own.items() if c not in results]
+    return found.select(*others, *[F.when(F.monotonically_increasing_id() >= 0, F.col(c)).alias(c) for c in results])
 
 
 def apply_rules(docs: DataFrame, min_kept: int = MIN_KEPT) -> DataFrame:
-    """docs without the rejected documents, as they were: the columns and texts are unchanged.
+    """The documents that are not rejected, cleaned: text has the kept lines alone, and n_chars, if there, follows it.
 
-    The row number beside the verdict is not deterministic, which keeps the optimizer from moving the filter below
-    the measures and copying them into it, each array once for each of its elements.
+    The columns are those of docs, and the others of them, whatever their names, are as they were.
     """
-    numbered = judged(docs, min_kept).select(*docs.columns, "kept", F.monotonically_increasing_id().alias("_row"))
-    return numbered.where("kept and _row >= 0").select(docs.columns)
+    renamed, own = native.aside(docs, "_doc")
+    found = judged(renamed.withColumn("text", own["text"]), min_kept).where("kept")
+    out = own | {"text": F.col("cleaned")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.length("cleaned").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[column.alias(c) for c, column in out.items()])
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
