@@ -23,6 +23,7 @@ sides.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -137,18 +138,33 @@ def kinds(words: list[bytes]) -> np.ndarray:
     return (pd.util.hash_array(ends, categorize=False) % np.uint64(KINDS)).astype(np.int64) if words else np.zeros(0, np.int64)
 
 
-def symbols(words: Words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol of every word, and its id, or -1 where the symbol is its own."""
-    ids = word_ids(words)
+class Coded(NamedTuple):
+    """A block's words as codes in order of appearance: the code of every word, and of every code its id, symbol, and
+    place in rare (the ids of words without a symbol of their own), or -1."""
+
+    codes: np.ndarray
+    symbols: np.ndarray
+    places: np.ndarray
+    rare: np.ndarray
+
+
+def distinct(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code of every word, the id of every code, and its kind."""
+    codes, ids = pd.factorize(word_ids(words))
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
+    every = list(chain.from_iterable(words.lists))
+    return codes, ids, kinds([every[i] for i in first.tolist()])
+
+
+def coded(words: Words, lexicon: Lexicon) -> Coded:
+    codes, ids, kind = distinct(words)
+    symbol = (OWN + kind).astype(np.uint16)
     own = np.zeros(len(ids), dtype=bool)
-    out = np.zeros(len(ids), dtype=np.uint16)
     if len(lexicon.words) and len(ids):
         at = np.minimum(np.searchsorted(lexicon.words, ids), len(lexicon.words) - 1)
         own = lexicon.words[at] == ids
-        out[own] = lexicon.symbols[at[own]]
-    every = [w for some in words.lists for w in some]
-    out[~own] = OWN + kinds([every[i] for i in np.flatnonzero(~own).tolist()])
-    return out, np.where(own, -1, ids)
+        symbol[own] = lexicon.symbols[at[own]]
+    return Coded(codes, symbol, np.where(own, -1, np.cumsum(~own) - 1).astype(np.int32), ids[~own])
 
 
 def windows(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,10 +191,8 @@ def counted(docs: DataFrame) -> DataFrame:
     def scan(batches):
         for batch in batches:
             for block in blocks(batch, limit=PART_BYTES):
-                words = Words(texts(block), lower=True)
-                word, first, n = np.unique(word_ids(words), return_index=True, return_counts=True)
-                every = [w for some in words.lists for w in some]
-                kind = kinds([every[i] for i in first.tolist()])
+                codes, word, kind = distinct(Words(texts(block), lower=True))
+                n = np.bincount(codes, minlength=len(word)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n), pa.array(kind)], names=["word", "n", "kind"])
 
     found = docs.select("text").mapInArrow(scan, "word long, n long, kind long")
@@ -200,46 +214,35 @@ def lexicon_of(vocabulary: DataFrame) -> Lexicon:
 
 
 def encoded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(part, doc_id, n_words, symbols, rare, words): a row for each document, with its symbols and the ids of words
-    without one of their own as binary; and, last of a part, a row that has the distinct ids of these in words."""
+    """(part, doc_id, n_words, symbols, rare, words): a row for each document, with its symbols and the places of its
+    rare words among those of the part as binary; and, last of a part, a row that has the part's rare words in words."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["part", "doc_id", "n_words", "symbols", "rare", "words"]
 
     def scan(batches):
-        part, size, seen, arrow = TaskContext.get().partitionId() << 32, 0, [], pa.null()
-
-        def last():
-            words = np.unique(np.concatenate(seen))
-            columns = [[part], [None], [None], [None], [None], [words]]
-            types = (pa.int64(), arrow, pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
+        part = TaskContext.get().partitionId() << 32
         for batch in batches:
-            arrow = batch.schema.field("doc_id").type
-            for block in blocks(batch):
+            for block in blocks(batch, limit=PART_BYTES):
                 words = Words(texts(block), lower=True)
-                symbol, rare = symbols(words, shared.value)
-                spans = list(zip(words.starts.tolist(), words.ends.tolist(), strict=True))
-                rows = len(words.lens)
+                found = coded(words, shared.value)
+                symbol, place = found.symbols[found.codes], found.places[found.codes]
+                spans, rows = list(zip(words.starts.tolist(), words.ends.tolist(), strict=True)), len(words.lens)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(rows, part)),
                         block.column("doc_id"),
                         pa.array(words.lens),
                         pa.array([symbol[a:b].tobytes() for a, b in spans], pa.binary()),
-                        pa.array([(x := rare[a:b])[x >= 0].tobytes() for a, b in spans], pa.binary()),
+                        pa.array([(x := place[a:b])[x >= 0].tobytes() for a, b in spans], pa.binary()),
                         pa.nulls(rows, pa.list_(pa.int64())),
                     ],
                     names=names,
                 )
-                seen.append(np.unique(rare[rare >= 0]))
-                size += block.column("text").nbytes
-                if size >= PART_BYTES:
-                    yield last()
-                    part, size, seen = part + 1, 0, []
-        if seen:
-            yield last()
+                types = (pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+                columns = [[part], [None], [None], [None], [None], [found.rare]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                part += 1
 
     return docs.select("doc_id", "text").mapInArrow(scan, f"part long, doc_id {kind}, n_words long, symbols binary, rare binary, words array<long>")
 
@@ -329,43 +332,54 @@ def trained(docs: DataFrame) -> Trained:
 
 
 def scores(table: DataFrame, model: Trained) -> DataFrame:
-    """The scores of an encoded table. Words that the vocabulary lacks count as the one unseen word of their symbol."""
+    """The scores of an encoded table. Words that the vocabulary lacks count as the one unseen word of their symbol.
+
+    The network's part, and that of the symbols' counts, is made where the rows are; only the places of rare words move.
+    """
     small = table.sparkSession.sparkContext.broadcast((model.flat, model.lexicon.counts))
     kind = table.schema["doc_id"].dataType.simpleString()
-    known = table.where("words is not null").select(F.col("part").alias("in_part"), F.explode("words").alias("word")).join(model.vocabulary.select("word", "n"), "word")
-    names = ["doc_id", "n_words", "log_likelihood", "log_share", "mean_log_probability", "perplexity"]
 
-    def score(rows: pa.Table, looked_up: pa.Table) -> pa.Table:
+    def predict(batches):
         flat, counts = small.value
-        network = WindowNetwork(flat)
-        word, n = looked_up["word"].to_numpy(), looked_up["n"].to_numpy()
-        order = np.argsort(word)
-        word, logs = np.append(word[order], 2**63 - 1), np.append(np.log(n[order]), 0.0)
-        whole = np.log1p(counts)
-        symbol = [np.frombuffer(x, np.uint16) for x in rows["symbols"].to_pylist()]
-        total, share = [], []
-        for at in range(0, len(symbol), 64):
-            some = symbol[at : at + 64]
-            line, around = windows(some)
-            each = np.zeros(len(line) + 1)
-            for a in range(0, len(line), BATCH):
-                each[a : a + len(line[a : a + BATCH])] = network.log_probability(around[a : a + BATCH], line[a : a + BATCH])
-            ends = np.cumsum([len(x) for x in some])
-            total += [float(each[b - len(x) : b].sum()) for x, b in zip(some, ends.tolist(), strict=True)]
-        for own, raw in zip(symbol, rows["rare"].to_pylist(), strict=True):
-            ids = np.frombuffer(raw, np.int64)
-            found = np.searchsorted(word, ids)
-            seen = np.where(word[found] == ids, logs[found], 0.0)
-            share.append(float(seen.sum() - whole[own[own >= OWN]].sum()))
+        network, whole = WindowNetwork(flat), np.log1p(counts)
+        whole[:OWN] = 0
+        for batch in batches:
+            symbol = [np.frombuffer(x, np.uint16) for x in batch.column("symbols").to_pylist()]
+            logs, shares = [], []
+            for at in range(0, len(symbol), 64):
+                some = symbol[at : at + 64]
+                line, around = windows(some)
+                each = np.zeros(len(line) + 1)
+                for a in range(0, len(line), BATCH):
+                    each[a : a + len(line[a : a + BATCH])] = network.log_probability(around[a : a + BATCH], line[a : a + BATCH])
+                ends = np.cumsum([len(x) for x in some]).tolist()
+                logs += [float(each[b - len(x) : b].sum()) for x, b in zip(some, ends, strict=True)]
+                shares += [-float(whole[x].sum()) for x in some]
+            columns = [*(batch.column(c) for c in ("part", "doc_id", "n_words", "rare")), pa.array(logs, pa.float64()), pa.array(shares, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "n_words", "rare", "log", "share"])
+
+    def look_up(rows: pa.Table, known: pa.Table) -> pa.Table:
+        place, n = known["place"].to_numpy(), known["n"].to_numpy()
+        count = np.ones(place.max() + 1 if len(place) else 0)
+        count[place] = n
+        logs = np.log(np.append(count, 1))
+        share = []
+        for start, raw in zip(rows["share"].to_pylist(), rows["rare"].to_pylist(), strict=True):
+            at = np.frombuffer(raw, np.int32)
+            share.append(start + float(logs[np.minimum(at, len(count))].sum()))
         lens = rows["n_words"].to_pylist()
-        total = [t + s for t, s in zip(total, share, strict=True)]
+        total = [x + y for x, y in zip(rows["log"].to_pylist(), share, strict=True)]
         mean = [t / n if n else None for t, n in zip(total, lens, strict=True)]
         perplexity = [None if m is None else float(np.exp(-m)) for m in mean]
-        columns = [pa.array(total, pa.float64()), pa.array(share, pa.float64()), pa.array(mean, pa.float64()), pa.array(perplexity, pa.float64())]
-        return pa.table([rows["doc_id"], pa.array(lens, pa.int64()), *columns], names=names)
-
-    return table.where("words is null").drop("words").groupBy("part").cogroup(known.groupBy("in_part")).applyInArrow(
-        score, f"doc_id {kind}, n_words long, log_likelihood double, log_share double, mean_log_probability double, perplexity double"
+        columns = [pa.array(x, pa.float64()) for x in (total, share, mean, perplexity)]
+        return pa.table([rows["doc_id"], rows["n_words"], *columns], names=["doc_id", "n_words", "log_likelihood", "log_share", "mean_log_probability", "perplexity"])
+
+    words = table.where("words is not null").select(F.col("part").alias("in_part"), F.posexplode("words").alias("place", "word"))
+    known = words.join(model.vocabulary.select("word", "n"), "word").select("in_part", "place", "n")
+    rows = table.where("words is null").select("part", "doc_id", "n_words", "symbols", "rare")
+    predicted = rows.mapInArrow(predict, f"part long, doc_id {kind}, n_words long, rare binary, log double, share double")
+    return predicted.groupBy("part").cogroup(known.groupBy("in_part")).applyInArrow(
+        look_up, f"doc_id {kind}, n_words long, log_likelihood double, log_share double, mean_log_probability double, perplexity double"
     )
 
 
