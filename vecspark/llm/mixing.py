@@ -3,7 +3,7 @@
 1. Targets: every source gets words by weight, but no more than `most_repeats` times its own; what is over goes to
    the others by weight until none is above (a water level, found in one pass over the sources by cap/weight).
 2. The mix is cut into blocks of `block_words`. Sources get blocks by the highest quotients target / (2 k + 1),
-   k = 0, 1, ...; within a source, its shards do in the same way, in proportion to their words.
+   k = 0, 1, ...; within a source, cells of shards and then shards do in the same way, in proportion to their words.
 3. Within a shard the documents stand in a seeded order, and the quota takes whole rounds and then the first
    blocks of this order. So a document is taken whole, twice, in part or not at all.
 
@@ -13,9 +13,7 @@ the map side as one row for each source and shard.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,7 +22,7 @@ from vecspark.llm.shared import load, written
 
 #: By rank of the source; share of all sizes, and the most repeats, in percent.
 WEIGHTS, SHARE, MOST_REPEATS = (5, 2, 1), 150, 200
-BLOCK_WORDS, SHARD_WORDS, SEED = 16, 65_536, 17
+BLOCK_WORDS, SHARD_WORDS, CELL, SEED = 16, 65_536, 1024, 17
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: int = SHARE, most: int = MOST_REPEATS) -> DataFrame:
@@ -80,54 +78,89 @@ def apportioned(claims: DataFrame, groups: list[str], key: str, seats: str, seat
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: int = SHARE, most: int = MOST_REPEATS, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source) of every row of docs(doc_id, text, source).
+def measured(docs: DataFrame) -> tuple[DataFrame, dict]:
+    """docs with its columns renamed, and size (words), source and spread (doc_id, or of a null one a digest of the
+    text); and its columns by their own names."""
+    renamed, own = native.aside(docs)
+    text = F.coalesce(own["text"], F.lit(""))
+    digest = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    spread = F.coalesce(own["doc_id"].cast("long"), digest)
+    return renamed.withColumns({"source": own["source"], "size": native.word_count(text), "spread": spread}), own
+
 
-    Null texts have size 0; a null source is a source of its own, ranked last; a null doc_id counts as 0 where an
-    order is needed. Rows that repeat a doc_id are rows of their own. taken counts words with repeats, at most
-    `most` percent of the size; shares and targets are percentages of words.
+def quotas(sizes: DataFrame, weights=WEIGHTS, share: int = SHARE, most: int = MOST_REPEATS, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
+    """A row for each source (source, source_size, rank, target, blocks, n_shards), and for each shard (rank, shard,
+    votes, words) its words and those of them, with repeats, that the mix takes.
+
+    A source's blocks go to cells of CELL shards, and a cell's to its shards, so no window holds all shards of a source.
     """
-    sizes = written(docs.select(F.col("doc_id"), F.col("source"), native.word_count(native.text_or_empty()).alias("size")), "sizes")
     named = targets(sizes, weights, share, most)
     total = named.withColumn("wanted", F.floor(F.sum("target").over(W.partitionBy()) / block).cast("long"))
-    quotas = apportioned(total.withColumn("votes", F.col("target")).withColumn("_all", F.lit(0)), ["_all"], "rank", "blocks")
+    sources = apportioned(total.withColumn("votes", F.col("target")).withColumn("_all", F.lit(0)), ["_all"], "rank", "blocks")
     n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
-    quotas = written(quotas.select("source", "source_size", "rank", "target", "blocks", n_shards.alias("n_shards")), "quotas")
-
-    shard = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("n_shards")).alias("shard")
-    rows = sizes.join(quotas, sizes["source"].eqNullSafe(quotas["source"])).select(
-        "doc_id", sizes["source"], "size", "source_size", "rank", "target", "blocks", shard
-    )
-    shards = rows.groupBy("rank", "shard").agg(F.sum("size").alias("votes"), F.first("blocks").alias("wanted"))
-    shards = apportioned(shards, ["rank"], "shard", "own")
-    limit = F.floor(F.col("votes") * most / 100)
-    words = F.least(F.col("own") * block, limit)
-    shards = shards.select("rank", "shard", "votes", words.cast("long").alias("words"))
-
-    order = W.partitionBy("rank", "shard").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), "doc_id", "size")
+    sources = written(sources.select("source", "source_size", "rank", "target", "blocks", n_shards.alias("n_shards")), "quotas")
+    by_shard = dealt(sizes, sources).groupBy("rank", "shard").agg(F.sum("size").alias("votes"), F.first("blocks").alias("blocks"))
+    shards = written(by_shard.withColumn("cell", F.floor(F.col("shard") / CELL)), "shards")
+    cells = shards.groupBy("rank", "cell").agg(F.sum("votes").alias("votes"), F.first("blocks").alias("wanted"))
+    cells = apportioned(cells, ["rank"], "cell", "owned").select("rank", "cell", F.col("owned").alias("wanted"))
+    shards = apportioned(shards.drop("blocks").join(cells, ["rank", "cell"]), ["rank", "cell"], "shard", "own")
+    words = F.least(F.col("own") * block, F.floor(F.col("votes") * most / 100))
+    return sources, written(shards.select("rank", "shard", "votes", words.cast("long").alias("words")), "words")
+
+
+def dealt(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows(source, spread, ...) with the quota of their source and their shard."""
+    named = sources.withColumnRenamed("source", "_source")
+    return rows.join(named, rows["source"].eqNullSafe(named["_source"])).drop("_source").withColumn("shard", F.pmod("spread", F.col("n_shards")))
+
+
+def taken(rows: DataFrame, sources: DataFrame, shards: DataFrame, seed: int, *ties: Column) -> DataFrame:
+    """rows(source, spread, size, ...) with the quota of their source and taken: whole rounds of the shard, and the
+    first words of its seeded order."""
+    order = W.partitionBy("rank", "shard").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("spread").cast("string"))), "spread", "size", *ties)
     rounds = F.when(F.col("votes") > 0, F.floor(F.col("words") / F.col("votes"))).otherwise(F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - rounds * F.col("votes") - F.col("start")))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - rounds * F.col("votes") - F.col("_start")))
     return (
-        rows.join(shards, ["rank", "shard"])
-        .withColumn("start", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-        .select("doc_id", "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"), "source")
+        dealt(rows, sources)
+        .join(shards, ["rank", "shard"])
+        .withColumn("_start", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+        .withColumn("taken", (rounds * F.col("size") + part).cast("long"))
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: a document once, repeated, cut after its first words, or not at all.
+def mix(docs: DataFrame, weights=WEIGHTS, share: int = SHARE, most: int = MOST_REPEATS, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source) of every row of docs(doc_id, text, source).
+
+    Null and empty texts have size 0, a very long one all its words; a null source is a source of its own, ranked last;
+    a digest of the text stands for a null doc_id where an order is needed. Rows that repeat a doc_id are rows of their
+    own. An empty table has no rows. Other columns are ignored. taken counts words with repeats, at most `most` percent
+    of the size; shares and targets are percentages of words.
+    """
+    rows, own = measured(docs)
+    sizes = written(rows.select(own["doc_id"].alias("doc_id"), "source", "size", "spread"), "sizes")
+    sources, shards = quotas(sizes, weights, share, most, block, shard_words)
+    return taken(sizes, sources, shards, seed).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: int = SHARE, most: int = MOST_REPEATS, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+    """docs as the mix takes them: a row once, repeated, cut after its first words, or not at all.
 
-    The columns are those of docs; n_chars, if there, follows the text. Needs unique doc_ids.
+    Each row has its own part of the mix, also where doc_ids repeat or are null: texts move with their rows to their
+    shards, and nothing is joined by doc_id. The columns are those of docs, whatever their names; n_chars, if there,
+    follows the text.
     """
-    whole = native.word_array(native.text_or_empty())
-    taken = mix(docs, **options).select("doc_id", "size", "taken").where("taken > 0")
-    joined = docs.join(taken, "doc_id")
+    rows, own = measured(docs)
+    sizes = written(rows.select("source", "size", "spread"), "sizes")
+    sources, shards = quotas(sizes, weights, share, most, block, shard_words)
+    found = taken(rows, sources, shards, seed, F.xxhash64(*own.values())).where("taken > 0")
     copies = F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size"))), lambda i: F.least(F.col("size"), F.col("taken") - (i - 1) * F.col("size")))
-    cut = F.when(F.col("_take") < F.col("size"), F.array_join(F.slice(whole, 1, F.col("_take").cast("int")), " ")).otherwise(F.col("text"))
-    out = joined.withColumn("_take", F.explode(copies)).withColumn("text", cut)
+    whole = native.word_array(F.coalesce(own["text"], F.lit("")))
+    cut = F.when(F.col("_take") < F.col("size"), F.array_join(F.slice(whole, 1, F.col("_take").cast("int")), " ")).otherwise(own["text"])
+    out = own | {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return reduce(lambda d, c: d.drop(c), ["_take", "size", "taken"], out).select(docs.columns)
+        out["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    found = found.select(*own.values(), "size", F.explode(copies).alias("_take")).withColumn("_text", cut)
+    return found.select(*[column.alias(c) for c, column in out.items()])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
@@ -153,7 +186,7 @@ def _apportion_sql(name: str, claims: str, groups: str, key: str) -> str:
 
 OP6_SQL = rf"""
 WITH sizes AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, coalesce(doc_id, ('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT) AS spread, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sizes GROUP BY source
 ), weighed AS (
@@ -174,14 +207,17 @@ WITH sizes AS (
 quotas AS (
   SELECT t.*, seats AS blocks, greatest(1, ceil(source_size / {SHARD_WORDS}))::BIGINT AS n_shards FROM targets t JOIN seats USING (rank)
 ), docs AS (
-  SELECT doc_id, size, source_size, target, rank, blocks, coalesce(doc_id, 0) % n_shards AS shard, q.source
+  SELECT doc_id, spread, size, source_size, target, rank, blocks, spread % n_shards AS shard, q.source
   FROM sizes s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source
-), shards AS (SELECT rank, shard, sum(size)::BIGINT AS votes, any_value(blocks)::BIGINT AS wanted FROM docs GROUP BY rank, shard
-), {_apportion_sql("owned", "shards", "rank", "shard")},
+), shards AS (SELECT rank, shard // {CELL} AS cell, shard, sum(size)::BIGINT AS votes, any_value(blocks)::BIGINT AS wanted FROM docs GROUP BY rank, shard
+), cells AS (SELECT rank, cell, sum(votes)::BIGINT AS votes, any_value(wanted) AS wanted FROM shards GROUP BY rank, cell
+), {_apportion_sql("celled", "cells", "rank", "cell")},
+in_cells AS (SELECT rank, cell, shard, s.votes, c.seats AS wanted FROM shards s JOIN celled c USING (rank, cell)
+), {_apportion_sql("owned", "in_cells", "rank, cell", "shard")},
 words AS (
   SELECT rank, shard, votes, least(seats * {BLOCK_WORDS}, floor(votes * {MOST_REPEATS} / 100))::BIGINT AS words FROM owned
 ), placed AS (
-  SELECT *, sum(size) OVER (PARTITION BY rank, shard ORDER BY md5(concat_ws(':', '{SEED}', doc_id::VARCHAR)), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+  SELECT *, sum(size) OVER (PARTITION BY rank, shard ORDER BY md5(concat_ws(':', '{SEED}', spread::VARCHAR)), spread, size ROWS UNBOUNDED PRECEDING) - size AS start
   FROM docs JOIN words USING (rank, shard)
 )
 SELECT doc_id, size, source_size, target, source, (CASE WHEN votes > 0 THEN words // votes ELSE 0 END * size
