@@ -82,7 +82,9 @@ def test_mix_on_odd_rows(spark):
     assert {r.taken for r in mixing.mix(spark.createDataFrame(ODD[:3], SCHEMA)).collect()} == {0}
 
 
-def test_mix_near_targets_and_documents(spark, sf_dir):
+@pytest.mark.parametrize("cell", [1024, 2])
+def test_mix_near_targets_and_documents(spark, sf_dir, monkeypatch, cell):
+    monkeypatch.setattr(mixing, "CELL", cell)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = mixing.mix(docs, shard_words=2000).collect()
     by: dict = {}
@@ -95,6 +97,61 @@ def test_mix_near_targets_and_documents(spark, sf_dir):
     assert taken == Counter({r.doc_id: r.taken for r in rows if r.taken})
 
 
+def test_mixed_rows_keep_their_own_quota(spark):
+    """Repeated and null ids, clashing columns; each row against the mix of rows with ids of their own."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(5 + 13 * i % 90)) for i in range(40)]
+    rows = [(i // 3 if i % 4 else None, t, f"s{i % 3}" if i % 5 else None, 7, "x", i) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[4], (None, None, "s1", 1, "y", -1), (9, "", "s2", 2, "z", -2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, taken string, n_chars int")
+    out = mixing.mixed_documents(docs, block=4, shard_words=200)
+    assert out.dtypes == docs.dtypes
+    got = Counter()
+    whole = {t: (d, s) for d, t, s, *_ in rows}
+    for r in out.collect():
+        origin = next(t for t in texts if t == r.text or t.startswith(r.text + " "))
+        assert whole[origin] == (r.doc_id, r.source) and r.n_chars == len(r.text) and (r.size, r.taken) == (7, "x")
+        got[(r.doc_id, r.source)] += len(r.text.split())
+    wanted = Counter()
+    for r in mixing.mix(docs, block=4, shard_words=200).collect():
+        wanted[(r.doc_id, r.source)] += r.taken
+    assert got == +wanted and sum(got.values()) > sum(map(len, map(str.split, texts)))
+    assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mixed_documents(docs.repartition(7), block=4, shard_words=200).collect()))
+
+
+def plain_mix(rows, block, share=1.5, most=2.0, weights=(5, 2, 1)):
+    """Targets by raising a water level source by source, and blocks one at a time by the highest quotient."""
+    size = Counter()
+    for _, text, source in rows:
+        size[source] += len(brute.words(text))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, left, open_ = {}, share * sum(size.values()), set(names)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if most * size[s] < weight[s] * level}
+        for s in full or open_:
+            target[s] = most * size[s] if full else weight[s] * level
+        left -= sum(target[s] for s in full)
+        open_ = open_ - full if full else set()
+    blocks = Counter()
+    for _ in range(int(sum(target.values()) / block + 1e-9)):
+        blocks[max(names, key=lambda s: (target[s] / (2 * blocks[s] + 1), -names.index(s)))] += 1
+    return target, blocks
+
+
+def test_mix_against_a_plain_version(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    rows = [tuple(r) for r in docs.collect()]
+    target, blocks = plain_mix(rows, 16)
+    found: dict = {}
+    for r in mixing.mix(docs).collect():
+        found.setdefault(r.source, []).append(r)
+    for source, some in found.items():
+        assert all(abs(r.target - target[source]) < 1e-6 * target[source] for r in some)
+        # one shard for each source here: its quota, but no more than twice its words
+        assert sum(r.taken for r in some) == min(16 * blocks[source], 2 * sum(r.size for r in some))
+
+
 def test_seats_are_those_of_highest_quotients(spark):
     claims = [(g, k, float(v), w) for g, votes, w in ((0, [53, 24, 23], 10), (1, [1000, 1, 1, 0], 7), (2, [5, 5], 3)) for k, v in enumerate(votes)]
     df = spark.createDataFrame(claims, "g int, k int, votes double, wanted long")
@@ -134,12 +191,56 @@ def test_fingerprints_follow_edits(spark, sf_dir):
     assert sum(r.near_edited > r.near_next for r in got.values()) > 0.9 * len(got)
 
 
-def test_signature_is_order_minhash(spark):
-    """By hand: numbered k-mers, the smallest of each bin, in text order."""
-    text = "a b c a b d a b c a b e f g a b"
-    one = order_minhash.signed(spark.createDataFrame([(text,), (" ".join(reversed(text.split())),), (text,)], "text string"), "text", "s", bins=4).collect()
-    assert one[0].s == one[2].s != one[1].s
-    assert [x >> 32 for x in one[0].s] == sorted({x >> 32 for x in one[0].s})
+def plain_signature(spark, texts, k=2, length=2, bins=64):
+    """By hand, from the hashes that SQL gives: k-mers numbered, put on the circle, and for each bin the next ones."""
+    grams = {" ".join(w[i : i + k]) if len(w) >= k else " ".join(w) for w in map(brute.words, texts) for i in range(max(1, len(w) - k + 1))} - {""}
+    grams = sorted(grams)
+    rows = spark.createDataFrame([(g,) for g in grams], "g string").selectExpr("g", f"if(size(split(g, ' ')) >= {k}, xxhash64({', '.join(f'get(split(g, chr(32)), {j})' for j in range(k))}), xxhash64(g)) AS h")
+    of = {r.g: r.h for r in rows.collect()}
+    numbers = spark.range(200).selectExpr("id AS n").crossJoin(rows).selectExpr("g", "int(n) AS n").collect()
+    deep = {(r.h, r.n): r.v for r in spark.createDataFrame([(of[x.g], x.n) for x in numbers], "h long, n int").selectExpr("h", "n", "xxhash64(h, n) AS v").collect()}
+    out = []
+    for w in map(brute.words, texts):
+        own = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [" ".join(w)] if w else []
+        seen, circle = Counter(), []
+        for at, g in enumerate(own):
+            v = deep[of[g], seen[g]]
+            seen[g] += 1
+            circle.append((v % bins, (v & (2**64 - 1)) >> 38, at, of[g]))
+        circle.sort()
+        picked = []
+        for b in range(bins if circle else 0):
+            first = next((i for i, x in enumerate(circle) if x[0] >= b), 0)
+            some = [circle[(first + j) % len(circle)] for j in range(min(length, len(circle)))]
+            picked.append([x[3] for x in sorted(some, key=lambda x: x[2])])
+        hashes = spark.createDataFrame([(i, x) for i, x in enumerate(picked)], "b long, x array<long>").selectExpr("b", "xxhash64(x) & 4294967295 AS y").collect()
+        out.append({(r.b << 32) | r.y for r in hashes})
+    return out
+
+
+def test_signature_against_a_plain_version(spark):
+    texts = ["a b c a b d a b c a b e f g a b", "a", "a b", "a b c", "", "x y " * 40, " ".join(f"w{i}" for i in range(150)), "a a a a a a"]
+    for length, bins in ((2, 64), (3, 8)):
+        found = order_minhash.signed(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", "s", length=length, bins=bins).orderBy("i").collect()
+        assert [set(r.s) for r in found] == plain_signature(spark, texts, length=length, bins=bins)
+        assert [len(r.s) for r in found] == [bins if t.strip() else 0 for t in texts]
+
+
+def test_likeness_falls_with_order_at_every_length(spark):
+    import random
+
+    rng, rows = random.Random(4), []
+    for n in (20, 40, 100, 400, 2000):
+        for _ in range(60):
+            w = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+            rows.append((n, " ".join(w), " ".join(w[n // 2 :] + w[: n // 2])))
+    df = order_minhash.signed(order_minhash.signed(spark.createDataFrame(rows, "n int, a string, b string"), "a", "x"), "b", "y")
+    found: dict = {}
+    for r in df.select("n", order_minhash.likeness(df.x, df.y).alias("like")).collect():
+        found.setdefault(r.n, []).append(r.like)
+    # every k-mer but one is kept, and half of all pairs keep their order
+    means = {n: sum(x) / len(x) for n, x in found.items()}
+    assert all(0.35 < x < 0.6 for x in means.values()), means
 
 
 def test_fingerprints_on_odd_rows(spark):

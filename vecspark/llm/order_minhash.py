@@ -2,8 +2,10 @@
 
 After Marçais, DeBlasio, Pandey and Kingsford (2019): number the occurrences of every k-mer of words, so that a
 repeated one counts as many; take the minimal ones under a hash; keep them in text order; hash each tuple.
-One hash deals the numbered k-mers into `bins`, and each bin keeps its `length` smallest, so a text is hashed and
-sorted once rather than once for each tuple. Two texts agree in a bin when they share its k-mers and their order.
+One hash puts the numbered k-mers on a circle cut into `bins`, so a text is hashed and sorted once rather than once for
+each tuple: a bin's tuple is the `length` first k-mers from its beginning on, whether in the bin or beyond it. So every
+tuple of a text with as many k-mers has `length` of them and tells their order, however short the text. Two texts agree
+in a bin when they share its k-mers and their order.
 
 Everything is column expressions on arrays of longs. Texts move once, into ranges of doc_id, which puts almost
 every next document beside its predecessor; the first row of each range goes to the range before it as well.
@@ -23,11 +25,11 @@ K, LENGTH, BINS = 2, 2, 64
 
 
 def signed(df: DataFrame, text: str, out: str, k: int = K, length: int = LENGTH, bins: int = BINS) -> DataFrame:
-    """df with the signature of a text column: for each filled bin a long of its number and 32-bit hash.
+    """df with the signature of a text column: for each bin a long of its number and the 32-bit hash of its tuple.
 
-    A text with fewer than k words has the hash of all its words in bin 0; one without any has no tuple at all.
+    A text with fewer than k words has all its words as its only k-mer; one without any has no tuple at all.
     """
-    words, hashes, packed, picked = (f"_{out}_{x}" for x in ("words", "hashes", "sorted", "picked"))
+    words, hashes, packed, picked, round_ = (f"_{out}_{x}" for x in ("words", "hashes", "sorted", "picked", "round"))
     h, s, p = F.col(hashes), F.col(packed), F.col(picked)
     one = df.withColumn(words, native.word_array(F.coalesce(F.col(text), F.lit(""))))
     short = F.when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
@@ -50,15 +52,18 @@ def signed(df: DataFrame, text: str, out: str, k: int = K, length: int = LENGTH,
     five = four.withColumn(picked, F.sort_array(F.flatten(F.transform(F.col(at), numbered)))).drop(packed, at)
     bin_of = lambda x: F.shiftright(x, 56)
     starts = F.filter(F.transform(p, lambda x, i: F.when(F.coalesce(bin_of(F.get(p, i - 1)) != bin_of(x), F.lit(True)), i)), lambda i: i.isNotNull())
-    six = five.withColumn(at, starts)
+    six = five.withColumn(at, starts).withColumn(round_, F.concat(p, F.slice(p, 1, length - 1)))
+    own_length = F.least(F.lit(length), F.size(p))
 
-    def tuple_hash(start: Column) -> Column:
-        first = F.get(p, start)
-        own = F.filter(F.slice(p, start + 1, length), lambda x: bin_of(x) == bin_of(first))
+    def tuples(start: Column, r: Column) -> Column:
+        """The tuple from a filled bin on, for it and for the empty bins before it; those after the last have the first's."""
+        own = F.slice(F.col(round_), start + 1, own_length)
         in_order = F.transform(F.sort_array(F.transform(own, native.position)), lambda i: F.get(h, i))
-        return F.shiftleft(bin_of(first), 32).bitwiseOR(F.xxhash64(in_order).bitwiseAND(F.lit(0xFFFFFFFF)))
+        low = F.xxhash64(in_order).bitwiseAND(F.lit(0xFFFFFFFF))
+        before = F.when(r > 0, bin_of(F.get(p, start - 1))).otherwise(bin_of(F.element_at(p, -1)) - bins)
+        return F.transform(F.sequence(before + 1, bin_of(F.get(p, start))), lambda b: F.shiftleft(F.pmod(b, F.lit(bins)), 32).bitwiseOR(low))
 
-    return six.withColumn(out, F.transform(F.col(at), tuple_hash)).drop(picked, at, hashes)
+    return six.withColumn(out, F.flatten(F.transform(F.col(at), tuples))).drop(picked, at, hashes, round_)
 
 
 def _binned(packed: Column, number: Column, hashes: Column, bins: int) -> Column:
@@ -71,14 +76,13 @@ def _binned(packed: Column, number: Column, hashes: Column, bins: int) -> Column
 
 
 def as_text(signature: str) -> Column:
-    """10 hex digits for each filled bin: its number and its hash."""
+    """10 hex digits for each bin: its number and its hash."""
     return F.array_join(F.transform(signature, lambda x: F.lpad(F.hex(x), 10, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal tuples of two signatures over the bins that either fills; 1 where both are without tuples."""
-    bins = lambda x: F.transform(x, lambda y: F.shiftright(y, 32))
-    filled = F.size(F.array_union(bins(a), bins(b)))
+    """The share of bins with equal tuples; 1 where both texts are without tuples, 0 where one is."""
+    filled = F.greatest(F.size(a), F.size(b))
     return F.when(filled > 0, F.size(F.array_intersect(a, b)).cast("double") / filled).otherwise(F.lit(1.0))
 
 
