@@ -163,18 +163,111 @@ def test_seats_are_those_of_highest_quotients(spark):
         assert {k: got[g, k] for k, _ in own} == {k: sum(1 for _, x in ranked if x == k) for k, _ in own}
 
 
-def test_shards_keep_rows_and_versions(spark, sf_dir):
+def plain_compaction(shards, target, fanout):
+    """{arrival: bytes} to the set of frozensets of arrivals that are files in the end."""
+    files = [((a,), n) for a, n in shards.items()]
+    while True:
+        tiers: dict = {}
+        for f, n in sorted(files):
+            if 2 * n <= target:
+                tier, edge = 0, sharding.SMALLEST_TIER
+                while edge < target:
+                    tier, edge = tier + (n >= edge), edge * fanout
+                tiers.setdefault(tier, []).append((f, n))
+        bins: dict = {}
+        for tier, some in tiers.items():
+            total = 0
+            for f, n in some:
+                bins.setdefault((tier, total // target), []).append((f, n))
+                total += n
+        merged = [some for some in bins.values() if len(some) > 1]
+        if not merged:
+            return {frozenset(f) for f, _ in files}
+        gone = {f for some in merged for f, _ in some}
+        files = [x for x in files if x[0] not in gone] + [(tuple(sorted(a for f, _ in some for a in f)), sum(n for _, n in some)) for some in merged]
+
+
+def test_shards_keep_rows_and_versions(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL", 3)
+    monkeypatch.setattr(sharding, "BATCH_SHARDS", 7)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    store = sharding.shard_documents(docs, work_dir(spark, "shards"), arrival_rows=10, target=100_000)
+    store = sharding.shard_documents(docs, work_dir(spark, "shards"), arrival_rows=10, target=150_000)
     assert sorted(store.read().select(docs.columns).collect()) == sorted(docs.collect())
-    assert store.read(1).count() == docs.count() and len(store.versions()) > 1
-    assert store.manifest().count() < store.manifest(1).count()
-    with pytest.raises(FileExistsError):
-        store.commit(store.manifest(), store.versions()[-1])
-    odd = sharding.shard_documents(spark.createDataFrame(ODD, SCHEMA), work_dir(spark, "shards"))
+    assert sorted(store.read(1).select(docs.columns).collect()) == sorted(docs.collect()) and len(store.versions()) > 1
+    rows = store.read().select("arrival", "shard_id", "text").collect()
+    size: Counter = Counter()
+    files: dict = {}
+    for r in rows:
+        size[r.arrival] += len(r.text.encode())
+        files.setdefault(r.shard_id, set()).add(r.arrival)
+    assert set(map(frozenset, files.values())) == plain_compaction(size, 150_000, sharding.FANOUT) and len(files) < len(size)
+    assert store.compact(150_000) == 0
+    before = store.versions()
+    assert store.vacuum(keep=1, older_than=0) > 0 and store.versions() == before[-1:]
+    assert sorted(store.read().select(docs.columns).collect()) == sorted(docs.collect())
+    odd = sharding.shard_documents(spark.createDataFrame(ODD, SCHEMA).selectExpr("*", "1 AS arrival", "2 AS shard_id", "3 AS in_write"), work_dir(spark, "shards"))
     assert odd.read().count() == 7
 
 
+def test_sparse_repeated_and_null_ids_make_arrivals_by_count(spark):
+    for column in ("id * 1000003", "null", "7"):
+        docs = spark.range(400).selectExpr(f"cast({column} AS long) AS doc_id", "concat('t', id) AS text")
+        store = sharding.ShardStore(spark, work_dir(spark, "shards"))
+        made = sharding.shard_documents(docs, store.root, arrival_rows=40)
+        assert 6 <= made.manifest(1).count() <= 10 and made.read().count() == 400
+
+
+def test_of_two_writers_of_a_version_one_fails(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = sharding.ShardStore(spark, work_dir(spark, "shards"))
+    store.append(spark.createDataFrame([(1, "a", 0)], "doc_id long, text string, arrival int"))
+    manifest = store.manifest()
+
+    def writer(i):
+        try:
+            sharding.ShardStore(spark, store.root).commit(manifest.limit(i % 2), 2)
+            return i
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        won = [x for x in pool.map(writer, range(6)) if x is not None]
+    assert len(won) == 1 and store.manifest(2).count() == won[0] % 2 and store.versions() == [1, 2]
+
+
+def test_appends_at_once_all_arrive_and_none_twice(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = sharding.ShardStore(spark, work_dir(spark, "shards"))
+    part = lambda i: spark.createDataFrame([(i, f"t{i}", i)], "doc_id long, text string, arrival int")
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda i: sharding.ShardStore(spark, store.root).append(part(i)), range(3)))
+    assert sorted(r.doc_id for r in store.read().collect()) == [0, 1, 2] and store.versions() == [1, 2, 3]
+    store.compact(1000)
+    with pytest.raises(FileExistsError):  # also when its shard has been merged
+        store.append(part(1))
+    assert store.read().count() == 3
+
+
+def test_a_writer_lost_before_its_commit_can_try_again(spark, monkeypatch):
+    store = sharding.ShardStore(spark, work_dir(spark, "shards"))
+    docs = spark.createDataFrame([(1, "a", 0), (2, "b", 1)], "doc_id long, text string, arrival int")
+    with monkeypatch.context() as m:
+        m.setattr(sharding.ShardStore, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            store.append(docs)
+    assert store.versions() == []
+    store.append(docs)
+    with monkeypatch.context() as m:
+        m.setattr(sharding.ShardStore, "_placed", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            store.compact(1000)
+    assert store.versions() == [1] and store.compact(1000) == 1
+    assert store.read().count() == 2 and store.vacuum(older_than=10_000) == 0 and store.vacuum(older_than=0) > 3
+    assert store.read().count() == 2 and store.manifest().count() == 1
+
+
 def test_shards_of_an_empty_table(spark):
     assert sharding.shard_documents(spark.createDataFrame([], SCHEMA), work_dir(spark, "shards")).read().count() == 0
 
