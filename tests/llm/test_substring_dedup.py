@@ -49,6 +49,10 @@ def test_nulls_repeats_long_texts_and_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, anchors string")
     found = sorted(((r.doc_id, r.n_words, r.n_removed) for r in dedup.removals(docs).collect()), key=str)
     assert found == sorted([(5, 60000, 0), (5, 60000, 0), (7, 60001, 60000), (None, 60000, 60000), (6, 0, 0)], key=str)
+    nameless = spark.createDataFrame([(None, "q " + long[:500]), (None, "r s " + long[:500]), (None, "q " + long[:500]), (None, None)], "doc_id long, text string")
+    lost = sorted((r.n_words, r.n_removed) for r in dedup.removals(nameless).collect())
+    n = len(long[:500].split())
+    assert lost in ([(0, 0), (n + 1, 0), (n + 1, 0), (n + 2, n)], [(0, 0), (n + 1, n), (n + 1, n), (n + 2, 0)])
     assert dedup.removals(docs.limit(0)).count() == 0
 
 
@@ -56,3 +60,14 @@ def test_stage_cuts_texts_and_keeps_columns(spark):
     p = " ".join(f"p{i}" for i in range(30))
     docs = spark.createDataFrame([(1, p + " a", "s", 9), (2, "b " + p + " c", "s", 9), (3, p, "s", 9), (4, "q\n r", "s", 4)], "doc_id long, text string, source string, n_chars long")
     assert sorted(tuple(r) for r in dedup.without_repeats(docs).collect()) == [(1, p + " a", "s", 9), (2, "b c", "s", 3), (4, "q\n r", "s", 4)]
+
+
+def test_stage_rows_keep_their_own_result(spark):
+    p = " ".join(f"p{i}" for i in range(30))
+    schema = "doc_id long, text string, kept_text string, hot int, _doc_id int, n_chars int"
+    rows = [(2, p + " a", "k", 1, 2, 9), (3, "b " + p, "l", 1, 2, 9), (3, "b " + p, "m", 1, 2, 9), (3, "no repeat", "n", 1, 2, 9), (None, p + "  c", "o", 1, 2, 9), (None, "d", "p", 1, 2, 9), (None, None, "q", 1, 2, 9), (4, p, "r", 1, 2, 9), (5, "", "s", 1, 2, 9)]
+    docs = spark.createDataFrame(rows, schema)
+    out = dedup.without_repeats(docs)
+    assert out.dtypes == docs.dtypes
+    wanted = [rows[0], (3, "b", "l", 1, 2, 1), (3, "b", "m", 1, 2, 1), rows[3], (None, "c", "o", 1, 2, 1), rows[5], rows[6], rows[8]]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, wanted))
