@@ -51,6 +51,7 @@ def test_heavy_lists_in_chunks(spark, monkeypatch):
 
     monkeypatch.setattr(join, "LIGHT_LIST", 3)
     monkeypatch.setattr(join, "CHUNK", 16)
+    monkeypatch.setattr(join, "HUB_PAIRS", 5)
     rng, rows = random.Random(9), []
     for base in range(3):
         w = [f"b{base}w{i}" for i in range(80 + 20 * base)]

@@ -40,6 +40,8 @@ COMMON_LIMIT = 262_144
 BROADCAST_IDS = 2_000_000
 #: Members up to which a list's pairs become rows, and members of a chunk of a longer list.
 LIGHT_LIST, CHUNK = 32, 1024
+#: Pairs of one document that meet its text in one part.
+HUB_PAIRS = 64
 #: Bits of a parity sketch at most; a larger set's is only less telling.
 SKETCH_BITS = 1 << 16
 
@@ -229,15 +231,26 @@ def heavy_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return cells.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
+def with_texts(pairs: DataFrame, held: DataFrame, own: str, other: str, scratch: Scratch, name: str) -> DataFrame:
+    """pairs with the texts of one end as t + own.
+
+    A document with more than HUB_PAIRS pairs is met in parts, by a hash of the other end, and its text goes to each.
+    """
+    hubs = pairs.groupBy(own).agg(F.count("*").alias("c")).where(F.col("c") > HUB_PAIRS)
+    hubs = scratch.put(hubs.select(own, F.ceil(F.col("c") / HUB_PAIRS).cast("int").alias("parts")), f"{name}_{own}")
+    salted = pairs.join(hubs, own, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    said = held.select(F.col("doc_id").alias(own), F.col("text").alias(f"t{own}")).join(hubs, own, "left")
+    said = said.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return salted.join(said, [own, "salt"]).drop("salt")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar enough, by the shingles themselves."""
+    """Those of the written pairs (a, b) whose texts are similar enough, by the shingles themselves."""
     wanted = scratch.put(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), name)
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    held = docs.join(wanted, "doc_id", "left_semi").repartition("doc_id")
-    rows = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(
-        held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"
-    )
+    held = docs.join(wanted, "doc_id", "left_semi")
+    rows = with_texts(with_texts(pairs, held, "b", "a", scratch, name), held, "a", "b", scratch, name)
 
     def check(batches):
         cached = lru_cache(64)(lambda text: shingle_set(text, k))
