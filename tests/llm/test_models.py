@@ -156,3 +156,97 @@ def test_classifier_odd_rows(spark):
     rows = quality_classifier.classify(docs).collect()
     assert len(rows) == 5 and len({r.score for r in rows if r.doc_id == 4}) == 1
     assert quality_classifier.classify(docs.limit(0)).count() == 0
+
+
+def plain_votes(text):
+    text = text or ""
+    n, size = len(text.split()), len(text)
+    lines = [x for x in (line.strip(" \t\n\x0b\x0c\r") for line in text.split("\n")) if x]
+    chars = sum(map(len, lines))
+    ended = sum(len(x) for x in lines if x[-1] in ".!?:;,-…。！？\"'”’»)]")
+    symbols, bars, capitals, marks = (sum(text.count(c) for c in some) for some in ("#*$%&<>{}", "|", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".!?"))
+    rules = [
+        (n < 10, n >= 40),
+        (20 * symbols > size, 200 * symbols < size),
+        (2 * ended < chars, 10 * ended >= 9 * chars),
+        (40 * bars > size, False),
+        (5 * capitals > size, 12 * capitals < size),
+        (4 * len(set(lines)) < 3 * len(lines), len(set(lines)) == len(lines)),
+        (60 * marks < n or 2 * marks > n, marks * 30 > n and 4 * marks < n),
+    ]
+    return [0 if bad else 1 if good else -1 for bad, good in rules]
+
+
+def plain_model(texts):
+    """Posterior and score of every text: EM over rows one by one, and the linear model on dictionaries."""
+    import re
+    import zlib
+    from math import exp, log, sqrt
+
+    votes = [plain_votes(t) for t in texts]
+    labels = [(1 + v.count(1)) / (2 + v.count(1) + 3 * v.count(0)) for v in votes]
+    for _ in range(100):
+        prior = (sum(labels) + 1) / (len(labels) + 2)
+        table = [[{v: 0.1 for v in (-1, 0, 1)} for _ in votes[0]] for _ in (0, 1)]
+        for vote, q in zip(votes, labels, strict=True):
+            for j, v in enumerate(vote):
+                table[0][j][v] += 1 - q
+                table[1][j][v] += q
+        total = [[sum(x.values()) for x in of] for of in table]
+        labels = []
+        for vote in votes:
+            logs = [log(p) + sum(log(table[c][j][v] / total[c][j]) for j, v in enumerate(vote)) for c, p in ((0, 1 - prior), (1, prior))]
+            labels.append(1 / (1 + exp(min(50, max(-50, logs[0] - logs[1])))))
+
+    def shape(word):
+        kind = lambda c: 48 if 48 <= c <= 57 else 65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else c
+        return re.sub(rb"(.)\1+", rb"\1", bytes(map(kind, word)), flags=re.DOTALL)
+
+    def features(text):
+        raw = (text or "").encode()
+        words, lines = raw.split(), [x for x in map(bytes.strip, raw.split(b"\n")) if x]
+        out: dict = {}
+        for w in words:
+            at = zlib.crc32(shape(w)) % 8192
+            out[at] = out.get(at, 0) + 1 / len(words)
+        for x in lines:
+            at = 12288 + zlib.crc32(x[-1:]) % 4096
+            out[at] = out.get(at, 0) + 1 / len(lines)
+        out = {k: sqrt(v) for k, v in out.items()}
+        for at in (8192 + min(12, len(words).bit_length()), 8192 + 20 + 10 * len(set(lines)) // max(1, len(lines))):
+            out[at] = 0.3
+        return out
+
+    rows, weights, squares = [features(t) for t in texts], {}, {}
+    share = min(max(sum(labels) / len(labels), 0.01), 0.99)
+    dot = lambda row: sum(weights.get(k, 0.0) * v for k, v in row.items()) + weights.get("bias", 0.0)
+    for _ in range(150):
+        step: dict = {}
+        for row, q in zip(rows, labels, strict=True):
+            error = (0.5 / share if q > 0.5 else 0.5 / (1 - share)) * (q - 1 / (1 + exp(-min(30, max(-30, dot(row))))))
+            for k, v in [*row.items(), ("bias", 1.0)]:
+                step[k] = step.get(k, 0.0) + error * v
+        for k, v in step.items():
+            g = v / len(rows) - 1e-5 * weights.get(k, 0.0)
+            squares[k] = squares.get(k, 1e-8) + g * g
+            weights[k] = weights.get(k, 0.0) + 0.3 * g / sqrt(squares[k])
+    return votes, labels, [1 / (1 + exp(-dot(row))) for row in rows]
+
+
+def test_classifier_against_a_plain_version(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    votes, posterior, score = plain_model([r.text for r in docs])
+    found = {r.doc_id: r for r in quality_classifier.op2(spark, sf_dir).collect()}
+    for r, v, q, p in zip(docs, votes, posterior, score, strict=True):
+        assert found[r.doc_id].votes == v and abs(found[r.doc_id].posterior - q) < 1e-6
+        assert abs(found[r.doc_id].score - p) < 1e-5 and found[r.doc_id].kept == (found[r.doc_id].score >= 0.5)
+
+
+def test_classifier_without_a_sample_falls_back_on_the_labellers(spark):
+    rows = [(None, "| # | # " * 40)] * 120 + [(i, "This is a plain sentence of ten words or so. " * 8) for i in range(30)]
+    for sample in (0, 1, 30):
+        found = quality_classifier.classify(spark.createDataFrame(rows, "doc_id long, text string"), sample=sample).collect()
+        assert len(found) == 150
+        if sample == 0:
+            assert all(r.score == r.posterior for r in found)
+            assert {r.kept for r in found if r.doc_id is None} == {False} and {r.kept for r in found if r.doc_id is not None} == {True}

@@ -25,7 +25,7 @@ from vecspark.llm.tokens import blocks, texts
 #: The documents that the linear model is trained on at most, and hashed features.
 SAMPLE, FEATURES = 4000, 1 << 14
 EPOCHS, RATE, KEEP_FROM = 30, 1.0, 0.5
-SHAPES = bytes(48 if chr(i).isdigit() else 65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 or i >= 128 else i for i in range(256))
+SHAPES = bytes(48 if 48 <= i <= 57 else 65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 or i >= 128 else i for i in range(256))
 RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
@@ -123,8 +123,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
 def classify(docs: DataFrame, sample: int = SAMPLE, keep_from: float = KEEP_FROM) -> DataFrame:
     """(doc_id, votes, posterior, score, kept) of every row of docs(doc_id, text).
 
-    posterior: probability of good by the labellers; score: by the linear model; kept: score >= keep_from. A null
-    text counts as empty. Equal texts have equal results; a null doc_id is kept as it is.
+    posterior: probability of good by the labellers; score: by the linear model, or the posterior itself where the
+    sample that should train it is empty; kept: score >= keep_from, so a score of just keep_from is kept. The sample is
+    that of the smallest hashes of doc_id and text, at most `sample` rows. A null text counts as empty, a very long one
+    is read whole. Equal texts have equal results, and repeated rows are rows of their own; a null doc_id is kept as it
+    is. An empty table has no rows; other columns, also those named as results, are ignored.
     """
     docs = docs.select("doc_id", F.col("text"))
     votes = voted(docs)
@@ -134,8 +137,8 @@ def classify(docs: DataFrame, sample: int = SAMPLE, keep_from: float = KEEP_FROM
     _, _, posterior = expectation_maximisation(patterns, counts)
     table = {tuple(p): float(q) for p, q in zip(patterns.tolist(), posterior, strict=True)}
 
-    one_of = max(1, -(-int(counts.sum()) // sample))
-    some = votes.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_of)) == 0).limit(sample)
+    key, one_of = F.xxhash64("doc_id", "text"), max(1, int(counts.sum()) // max(1, sample))
+    some = votes.where(F.pmod(key, F.lit(one_of)) == 0).orderBy(key).limit(sample)
 
     def features(batches):
         shapes = Shapes()
@@ -149,7 +152,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, keep_from: float = KEEP_FROM
 
     taught = some.mapInArrow(features, "at array<long>, value array<double>, votes array<int>").toPandas()
     rows = [(np.asarray(a), np.asarray(v), table[tuple(p)]) for a, v, p in zip(taught["at"], taught["value"], taught["votes"], strict=True)]
-    shared = docs.sparkSession.sparkContext.broadcast((fit(rows), table))
+    shared = docs.sparkSession.sparkContext.broadcast((fit(rows) if rows else None, table))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches):
@@ -157,11 +160,14 @@ def classify(docs: DataFrame, sample: int = SAMPLE, keep_from: float = KEEP_FROM
         shapes = Shapes()
         for batch in batches:
             for block in blocks(batch):
-                z = np.array([weights[at] @ value for at, value in map(shapes.of, texts(block))]) + weights[-1]
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 votes = block.column("votes")
+                likely = np.array([by_pattern[tuple(v)] for v in votes.to_pylist()])
+                p = likely
+                if weights is not None:
+                    z = np.array([weights[at] @ value for at, value in map(shapes.of, texts(block))]) + weights[-1]
+                    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), votes, pa.array([by_pattern[tuple(v)] for v in votes.to_pylist()]), pa.array(p), pa.array(p >= keep_from)],
+                    [block.column("doc_id"), votes, pa.array(likely), pa.array(p), pa.array(p >= keep_from)],
                     names=["doc_id", "votes", "posterior", "score", "kept"],
                 )
 
