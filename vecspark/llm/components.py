@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.shared import written
+from vecspark.llm.shared import Scratch
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -15,12 +15,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     which takes a number of rounds logarithmic in the longest path. Each step groups by node with a map-side
     minimum and joins the minimum back, so no node's neighbours meet in one row.
     """
-    now = written(_sorted(edges), "edges")
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.put(_sorted(edges), "edges")
     before = _state(now)
     if before[0] == 0:
         return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    for _ in range(max_rounds):
-        now = written(_small_star(_large_star(now)), "edges")
+    for round_ in range(max_rounds):
+        last, name = ("edges" if not round_ else f"edges{round_ - 1}"), f"edges{round_}"
+        # the least neighbours are written, so that the join's side of a node with very many can be split
+        least = scratch.put(_least_neighbours(now), f"least{round_}")
+        now = scratch.put(_small_star(_large_star(now, least)), name)
+        scratch.drop(last, f"least{round_}")
         after = _state(now)
         if after == before:
             return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(
@@ -39,14 +44,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+
+
+def _least_neighbours(edges: DataFrame) -> DataFrame:
+    return _both(edges).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+
+def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest of the node and its neighbours."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
-        edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    )
-    # written, so that the join's side of a node with very many neighbours can be split
-    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+    return _both(edges).join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -1,12 +1,12 @@
 """The corpus queries by name, with their SQL twins where SQL can express them."""
 
-import corpus_pipeline
 from vecspark.llm import (
     jaccard_join,
     lm_scoring,
     mixing,
     order_minhash,
     packing,
+    pipeline,
     quality_classifier,
     quality_rules,
     sharding,
@@ -25,7 +25,7 @@ QUERIES = {
     "op8_packing": packing.op8,
     "op9_order_minhash": order_minhash.op9,
     "op10_ngram_jaccard_join": jaccard_join.op10,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLES = {
