@@ -32,7 +32,35 @@ def task_cost(n: int, dim: int, degree: int) -> tuple[int, int]:
     return n * dim * 4 + n * degree * 6, n * dim * degree
 
 
-def layer_sizes(n: int, top: int, layers: int) -> list[int]:
-    """Points of each layer of a layered graph, from the bottom; they shrink by one factor."""
-    growth = (n / top) ** (1 / (layers - 1)) if layers > 1 else 1.0
-    return [n, *(round(n / growth**i) for i in range(1, layers - 1)), *([top] if layers > 1 else [])]
+def sample_room(n: int, dim: int, k: int, gib: float, width: int = 4, rate: float = 0.05, most: int = 1 << 23) -> int:
+    """Vectors of a sample that is clustered in memory: a share of all, as many as fit beside the centres."""
+    fits = int((gib * GIB - k * 3 * 4 - k * 8) // ((dim * width + 4) * SLACK))
+    return min(int(rate * n), fits, most, n)
+
+
+def layer_geometry(n: int, top: int, layers: int, degree: int) -> dict:
+    """growth, sizes, offsets and translation offsets of a layered graph, from the bottom, and rows of both tables.
+
+    Layers shrink by a whole factor. It is that below the exact one if the other would leave fewer than `degree` points
+    at the top, or leads less near to `top` points there.
+    """
+    exact = (n / top) ** (1 / (layers - 1)) if layers > 1 else 1.0
+    low, high = int(exact), int(exact) + 1
+    at_low, at_high = (n / g ** (layers - 1) if g else float("inf") for g in (low, high))
+    growth = low if exact > 0 and (at_high < degree or abs(at_low - top) < abs(at_high - top)) else high
+    sizes = [n, *(top * growth**i for i in range(layers - 2, -1, -1))]
+    offsets = [sum(sizes[:i]) for i in range(layers)]
+    return {
+        "growth": growth,
+        "sizes": sizes,
+        "offsets": offsets,
+        "translation_offsets": [0, *(x - n for x in offsets[1:])],
+        "rows": sum(sizes),
+        "translated": sum(sizes[1:]),
+    }
+
+
+def layered_file_bytes(geometry: dict, degree: int) -> int:
+    """Bytes of a layered graph file: neighbours, two translations and two numbers, each padded to eight."""
+    pad = lambda x: -(-x // 8) * 8
+    return pad(4 * geometry["rows"] * degree) + 2 * pad(4 * geometry["translated"]) + 8

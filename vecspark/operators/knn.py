@@ -35,12 +35,18 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2sq
     n = queries.count()
     blocks = -(-max(n, 1) // MOST_QUERIES)
     parts = [queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [queries]
-    pairs = reduce(DataFrame.unionByName, [distances(vectors, part, metric) for part in parts])
-    return top_k(pairs if where is None else pairs.where(where), k).select("qid", "rank", "id", "dist")
+    found = [distances(vectors, part, metric) for part in parts]
+    # the best of each block of queries first, so that blocks are not ranked as one
+    return reduce(DataFrame.unionByName, [top_k(p if where is None else p.where(where), k).select("qid", "rank", "id", "dist") for p in found])
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows whose key is in ids(id): vectors by id, or edges by src."""
+    return rows.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_semi")
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row: mean percentage of each query's true ids that were found."""
+    """One row: mean percentage of each query's true ids that were found. Queries without true ids don't count."""
     hits = truth.join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left").groupBy("qid").agg(
         (100.0 * F.count("hit") / F.count("*")).alias("r")
     )
