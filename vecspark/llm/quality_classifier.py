@@ -1,6 +1,6 @@
 """Quality classifier without labels: heuristics vote, expectation-maximisation weighs them, a linear model learns.
 
-1. Labellers vote good (1), bad (0) or nothing (-1) on a text, by column expressions.
+1. Labellers vote good (1), bad (0) or nothing (-1) on a text.
 2. The accuracies of the labellers are those of a Dawid-Skene model, fitted by expectation-maximisation to the
    counts of vote patterns over all documents. There are at most 3 ** labellers patterns, and only they are collected.
 3. The posterior of its pattern labels each document. A logistic model on hashed word shapes is trained on a sample
@@ -11,48 +11,58 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm import native
-from vecspark.llm.quality_rules import CAPITALS, SENTENCE_ENDS, bare, held
+from vecspark.llm.quality_rules import CAPITALS, SENTENCE_ENDS
 from vecspark.llm.shared import load
 from vecspark.llm.tokens import blocks, texts
 
 #: The documents that the linear model is trained on at most, and hashed features.
 SAMPLE, FEATURES = 4000, 1 << 14
-EPOCHS, RATE, KEEP_FROM = 30, 1.0, 0.5
+EPOCHS, RATE, KEEP_FROM, LABELLERS = 30, 1.0, 0.5, 7
 SHAPES = bytes(48 if 48 <= i <= 57 else 65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 or i >= 128 else i for i in range(256))
 RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
-def vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, F.lit(0)).when(good, F.lit(1)).otherwise(F.lit(-1))
-
-
-def voted(docs: DataFrame) -> DataFrame:
-    """docs with the votes (an array of -1, 0 and 1)."""
-    text = native.text_or_empty()
-    lines = F.filter(F.transform(F.split(text, "\n"), bare), lambda x: F.length(x) > 0)
-    one = docs.withColumn("_n", native.word_count(text)).withColumn("_size", F.length(text)).withColumn("_lines", lines)
-    chars = F.aggregate(F.transform("_lines", F.length), F.lit(0), lambda a, x: a + x)
-    ended = F.aggregate(F.transform("_lines", lambda x: F.when(F.right(x, F.lit(1)).isin(*SENTENCE_ENDS), F.length(x)).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    n, size = F.col("_n"), F.col("_size")
-    symbols, bars, capitals, marks = held(text, "#*$%&<>{}"), held(text, "|"), held(text, CAPITALS), held(text, ".!?")
-    distinct = F.size(F.array_distinct("_lines"))
-    votes = F.array(
-        vote(n < 10, n >= 40),
-        vote(20 * symbols > size, 200 * symbols < size),
-        vote(2 * ended < chars, 10 * ended >= 9 * chars),
-        vote(40 * bars > size, F.lit(False)),
-        vote(5 * capitals > size, 12 * capitals < size),
-        vote(4 * distinct < 3 * F.size("_lines"), distinct == F.size("_lines")),
-        vote((60 * marks < n) | (2 * marks > n), (marks * 30 > n) & (4 * marks < n)),
+def held(raw: bytes, characters: bytes) -> int:
+    """How many of these characters a text holds."""
+    return len(raw) - len(raw.translate(None, characters))
+
+
+def votes_of(raw: bytes, n: int) -> list[int]:
+    """The votes of all labellers on a text of n words: good (1), bad (0), nothing (-1)."""
+    text = raw.decode()
+    size, lines = len(text), [x for x in (line.strip(native.SPACE) for line in text.split("\n")) if x]
+    chars, ended, distinct = sum(map(len, lines)), sum(len(x) for x in lines if x[-1] in SENTENCE_ENDS), len(set(lines))
+    symbols, bars, capitals, marks = held(raw, b"#*$%&<>{}"), raw.count(b"|"), held(raw, CAPITALS.encode()), held(raw, b".!?")
+    said = (
+        (n < 10, n >= 40),
+        (20 * symbols > size, 200 * symbols < size),
+        (2 * ended < chars, 10 * ended >= 9 * chars),
+        (40 * bars > size, False),
+        (5 * capitals > size, 12 * capitals < size),
+        (4 * distinct < 3 * len(lines), distinct == len(lines)),
+        (60 * marks < n or 2 * marks > n, marks * 30 > n and 4 * marks < n),
     )
-    return one.withColumn("votes", votes).drop("_n", "_size", "_lines")
+    return [0 if bad else 1 if good else -1 for bad, good in said]
+
+
+def counted_votes(docs: DataFrame) -> list[tuple[list[int], int]]:
+    """The patterns of votes over docs(text) and how often each occurs; there are at most 3 ** LABELLERS."""
+
+    def scan(batches):
+        for batch in batches:
+            found = Counter(tuple(votes_of(raw or b"", len(raw.split()) if raw else 0)) for block in blocks(batch) for raw in texts(block))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.list_(pa.int32())), pa.array(list(found.values()), pa.int64())], names=["votes", "n"])
+
+    rows = docs.select("text").mapInArrow(scan, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
+    return sorted((list(r.votes), r.n) for r in rows)
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float, np.ndarray]:
@@ -74,29 +84,29 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return tables, float(prior), posterior
 
 
-class Shapes:
-    """Hashed features of a text: the shapes of its words, as aA0 and marks with runs joined, and of line ends."""
+class Shapes(dict):
+    """Hashed features of a text: the shapes of its words, as aA0 and marks with runs joined, and of line ends.
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
+    It remembers the features of words it has seen.
+    """
 
-    def index(self, word: bytes) -> int:
-        at = self.known.get(word)
-        if at is None:
-            if len(self.known) > 200_000:
-                self.known = {}
-            at = self.known[word] = zlib.crc32(RUN.sub(rb"\1", word.translate(SHAPES))) % (FEATURES // 2)
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        at = self[word] = zlib.crc32(RUN.sub(rb"\1", word.translate(SHAPES))) % (FEATURES // 2)
         return at
 
-    def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        words = text.split() if text else []
-        found, counts = np.unique(np.fromiter(map(self.index, words), np.int64, len(words)), return_counts=True)
-        lines = [x.strip() for x in text.split(b"\n")] if text else []
-        lines = [x for x in lines if x]
-        ends, ended = np.unique(np.array([zlib.crc32(x[-1:]) % (FEATURES // 4) for x in lines], dtype=np.int64), return_counts=True)
+    def of(self, raw: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found, counts = np.unique(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), return_counts=True)
+        lines = [x for x in map(bytes.strip, raw.split(b"\n")) if x]
+        ends = Counter(x[-1:] for x in lines)
+        ended: dict[int, int] = {}
+        for mark, n in ends.items():
+            at = FEATURES // 2 + FEATURES // 4 + zlib.crc32(mark) % (FEATURES // 4)
+            ended[at] = ended.get(at, 0) + n
         extra = [FEATURES // 2 + min(12, len(words).bit_length()), FEATURES // 2 + 20 + (10 * len(set(lines))) // max(1, len(lines))]
-        at = np.concatenate([found, FEATURES // 2 + FEATURES // 4 + ends, np.array(extra, dtype=np.int64)])
-        values = np.concatenate([np.sqrt(counts / max(1, len(words))), np.sqrt(ended / max(1, len(lines))), [0.3, 0.3]])
+        at = np.concatenate([found, np.array([*ended, *extra], dtype=np.int64)])
+        values = np.sqrt(np.concatenate([counts / max(1, len(words)), np.array([n / len(lines) for n in ended.values()]), [0.09, 0.09]]))
         return at, values
 
 
@@ -130,27 +140,30 @@ def classify(docs: DataFrame, sample: int = SAMPLE, keep_from: float = KEEP_FROM
     is. An empty table has no rows; other columns, also those named as results, are ignored.
     """
     docs = docs.select("doc_id", F.col("text"))
-    votes = voted(docs)
-    counted = votes.groupBy("votes").count().collect()
-    patterns = np.array([r.votes for r in counted], dtype=np.int64).reshape(len(counted), len(counted[0].votes) if counted else 1)
-    counts = np.array([r["count"] for r in counted], dtype=float)
+    counted = counted_votes(docs)
+    patterns = np.array([votes for votes, _ in counted], dtype=np.int64).reshape(len(counted), LABELLERS)
+    counts = np.array([n for _, n in counted], dtype=float)
     _, _, posterior = expectation_maximisation(patterns, counts)
     table = {tuple(p): float(q) for p, q in zip(patterns.tolist(), posterior, strict=True)}
 
     key, one_of = F.xxhash64("doc_id", "text"), max(1, int(counts.sum()) // max(1, sample))
-    some = votes.where(F.pmod(key, F.lit(one_of)) == 0).orderBy(key).limit(sample)
+    some = docs.where(F.pmod(key, F.lit(one_of)) == 0).orderBy(key).limit(sample)
+
+    def read(shapes, raw):
+        """The votes on a text and its features."""
+        raw = raw or b""
+        words = raw.split()
+        return votes_of(raw, len(words)), *shapes.of(raw, words)
 
     def features(batches):
         shapes = Shapes()
         for batch in batches:
             for block in blocks(batch):
-                found = [shapes.of(t) for t in texts(block)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64())), block.column("votes")],
-                    names=["at", "value", "votes"],
-                )
+                found = [read(shapes, t) for t in texts(block)]
+                kinds = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["votes", "at", "value"])
 
-    taught = some.mapInArrow(features, "at array<long>, value array<double>, votes array<int>").toPandas()
+    taught = some.select("text").mapInArrow(features, "votes array<int>, at array<long>, value array<double>").toPandas()
     rows = [(np.asarray(a), np.asarray(v), table[tuple(p)]) for a, v, p in zip(taught["at"], taught["value"], taught["votes"], strict=True)]
     shared = docs.sparkSession.sparkContext.broadcast((fit(rows) if rows else None, table))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -160,18 +173,19 @@ def classify(docs: DataFrame, sample: int = SAMPLE, keep_from: float = KEEP_FROM
         shapes = Shapes()
         for batch in batches:
             for block in blocks(batch):
-                votes = block.column("votes")
-                likely = np.array([by_pattern[tuple(v)] for v in votes.to_pylist()])
+                found = [read(shapes, t) for t in texts(block)]
+                votes = pa.array([f[0] for f in found], pa.list_(pa.int32()))
+                likely = np.array([by_pattern[tuple(f[0])] for f in found])
                 p = likely
                 if weights is not None:
-                    z = np.array([weights[at] @ value for at, value in map(shapes.of, texts(block))]) + weights[-1]
+                    z = np.array([weights[at] @ value for _, at, value in found]) + weights[-1]
                     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays(
                     [block.column("doc_id"), votes, pa.array(likely), pa.array(p), pa.array(p >= keep_from)],
                     names=["doc_id", "votes", "posterior", "score", "kept"],
                 )
 
-    return votes.select("doc_id", "text", "votes").mapInArrow(score, f"doc_id {kind}, votes array<int>, posterior double, score double, kept boolean")
+    return docs.mapInArrow(score, f"doc_id {kind}, votes array<int>, posterior double, score double, kept boolean")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
