@@ -350,3 +350,22 @@ def test_urls(spark):
     assert [got[i].verdict for i in range(len(urls))] == ["allow", "allow", "allow", "block", "block", "allow", "allow", "block", "allow", "allow", "allow", "block"]
     assert [got[i].rule for i in (6, 7, 8, 9, 10, 11)] == ["net/de/", "example.net/de/8", "net/de/", None, "example.com/en/7", "com/en/"]
     assert (got[0].host, got[0].path, got[3].host) == ("", "", "casino.example.com")
+
+
+def test_url_vocabulary_from_a_table(spark):
+    table = spark.createDataFrame([("Bad", 3), ("meh", 1), ("so-so", 1), ("ok", 1), ("bad", 2), (None, 9), ("", 9), ("off", 0)], "term string, weight int")
+    known = url_filter.read_vocabulary(table)
+    assert known == {"bad": 3, "meh": 1, "so-so": 1, "ok": 1}
+    urls = ["http://x/meh/meh/MEH", "http://x/meh-so-so", "http://x/meh-so-so?ok", "http://x/bad", "http://x/badly", "off", "x" * 200_000 + "/bad"]
+    found = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), known, 3, ())
+    assert [(r.verdict, r.weight) for r in sorted(found.collect())] == [("allow", 1), ("allow", 2), ("block", 3), ("block", 3), ("allow", 0), ("allow", 0), ("block", 3)]
+    assert {r.verdict for r in url_filter.filter_urls(spark.createDataFrame([(1, "http://a.com/porn")], "page_id long, url string"), {}).collect()} == {"allow"}
+
+
+def test_urls_on_odd_rows(spark):
+    rows = [(1, "http://a/casino", "x", "y"), (1, "http://a/casino", "x", "y"), (None, None, "x", "y"), (None, "", "x", "y"), (2, "http://" + "a/" * 100_000, "x", "y")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, verdict string, host string")
+    found = url_filter.filter_urls(docs).collect()
+    assert sorted(str((r.page_id, r.verdict)) for r in found) == sorted(map(str, [(1, "block"), (1, "block"), (None, "allow"), (None, "allow"), (2, "allow")]))
+    assert max(len(r.path) for r in found) == 200_000 - 1
+    assert url_filter.filter_urls(docs.limit(0)).count() == 0

@@ -100,11 +100,12 @@ def sketch_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0) ^ a).sum())
 
 
-def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
+def common_shingles(docs: DataFrame, k: int, scratch: Scratch) -> np.ndarray:
     """Shingles that some block of texts repeats across documents, most frequent last.
 
-    Each block sends those that it holds twice or more, with counts; the table keeps the COMMON_LIMIT most
-    frequent ones, as it only orders.
+    Each block sends those that it holds twice or more, with counts; the table keeps the most frequent ones, COMMON_LIMIT
+    at most and none of a count that would exceed it, as it only orders. A histogram of the counts says from which on,
+    so that no task sends more than it has of them.
     """
 
     def scan(batches):
@@ -116,15 +117,25 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
                 if often.any():
                     yield pa.RecordBatch.from_arrays([longs(values[often]), pa.array(counts[often])], names=["h", "c"])
 
-    counted = docs.select("text").mapInArrow(scan, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counted.orderBy(F.desc("c"), "h").limit(COMMON_LIMIT).toPandas()
-    return top["h"].to_numpy(dtype=np.int64).view(np.uint64)[::-1].copy()
-
-
-def signatures(docs: DataFrame, k: int, percent: int, list_cost: int) -> DataFrame:
+    sent = docs.select("text").mapInArrow(scan, "h long, c long")
+    counted = scratch.put(sent.groupBy("h").agg(F.sum("c").alias("c")), "common")
+    # counts from 4,096 on are told apart by their bits only, so that there are few
+    level = F.when(F.col("c") < 4096, F.col("c")).otherwise(4096 + F.floor(F.log2("c") * 64))
+    least, total = None, 0
+    for value, n in sorted(((r["level"], r["n"]) for r in counted.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True):
+        total += n
+        if total > COMMON_LIMIT:
+            break
+        least = value
+    top = counted.where(level >= least).toPandas() if least is not None else None
+    scratch.drop("common")
+    return np.zeros(0, np.uint64) if top is None else top.sort_values(["c", "h"], ascending=[True, False])["h"].to_numpy(dtype=np.int64).view(np.uint64).copy()
+
+
+def signatures(docs: DataFrame, k: int, percent: int, list_cost: int, scratch: Scratch) -> DataFrame:
     """(doc_id, n, s1, s2, keys, sketch): the set's size, its 128-bit hash, the keys under which it meets others
     and its parity sketch."""
-    common = common_shingles(docs, k)
+    common = common_shingles(docs, k, scratch)
     by_hash = np.argsort(common)
     shared = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))
     small = boundary(percent, list_cost)
@@ -277,7 +288,7 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, list_cost: in
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(docs.sparkSession, "jaccard")
-    numbered = signatures(docs, k, percent, list_cost).withColumn("row", F.monotonically_increasing_id())
+    numbered = signatures(docs, k, percent, list_cost, scratch).withColumn("row", F.monotonically_increasing_id())
     signed = scratch.put(numbered, "signatures")
     slim = scratch.put(signed.select("doc_id", "n", "s1", "s2", "row"), "sets")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("least")

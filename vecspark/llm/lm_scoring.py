@@ -200,8 +200,13 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def lexicon_of(vocabulary: DataFrame) -> Lexicon:
-    """Collects OWN words and the totals of KINDS."""
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(OWN).collect()
+    """Collects OWN words and the totals of KINDS. A histogram of counts by bits says which words may be among them."""
+    level, least, total = F.floor(F.log2("n") * 8), None, 0
+    for value, n in sorted(((r["level"], r["n"]) for r in vocabulary.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True):
+        least, total = value, total + n
+        if total >= OWN:
+            break
+    top = vocabulary.where(level >= least).orderBy(F.desc("n"), "word").limit(OWN).collect() if least is not None else []
     counts = np.zeros(SYMBOLS, dtype=np.int64)
     for kind, n in vocabulary.groupBy("kind").agg(F.sum("n")).collect():
         counts[OWN + kind] = n

@@ -1,13 +1,14 @@
 """URL filter: host and path rules first, then a weighted vocabulary found by an Aho-Corasick automaton.
 
-A term counts where no letter or digit stands next to it. One strict term, or `soft_limit` distinct soft terms,
-block a url. The automaton is built once in each task from the vocabulary, which is a parameter.
+A term counts once, where no letter or digit stands next to it. The weights of a url's distinct terms are summed, and a
+sum of `limit` or more blocks it: one strict term, which weighs as much by itself, or several soft ones. The vocabulary
+is a parameter, a mapping of terms to weights or a table of them; the automaton is built once in each task.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 import ahocorasick
 import pyarrow as pa
@@ -15,9 +16,20 @@ from pyspark.sql import DataFrame
 
 from vecspark.llm.shared import load
 
-STRICT = ("adult", "casino", "escort", "jackpot", "malware", "phishing", "porn", "spam-farm", "viagra", "warez", "xxx")
-SOFT = ("ads", "bet", "bets", "bonus", "cheap", "click", "deals", "farm", "free", "loan", "pills", "poker", "prize", "sex", "spam", "track", "win")
-SOFT_LIMIT = 2
+#: Terms by what they weigh, strict ones first. A table of one's own takes their place.
+LIMIT = 4
+STRICT = (
+    "adult", "bestiality", "blackjack", "bondage", "camgirl", "camgirls", "casino", "casinos", "cialis", "escort", "escorts", "fetish", "hardcore", "hentai", "incest", "jackpot",
+    "keygen", "keylogger", "malware", "milf", "nsfw", "phishing", "porn", "porno", "pornography", "ransomware", "sexcam", "slots", "spam-farm", "sportsbook", "viagra", "warez", "xvideos", "xxx",
+)
+#: Two of these are enough.
+SOFT = (
+    "ads", "bet", "bets", "betting", "bonus", "cheap", "click", "crack", "deals", "farm", "free", "gambling", "hacked", "hot", "loan", "loans", "nude", "payday", "pharmacy",
+    "pills", "poker", "prize", "replica", "serial", "sex", "sexy", "spam", "torrent", "track", "win", "winner",
+)
+#: Four of these.
+WEAK = ("best", "buy", "coupon", "discount", "download", "hotdeal", "offer", "online", "promo", "sale", "shop", "today")
+VOCABULARY = dict.fromkeys(WEAK, 1) | dict.fromkeys(SOFT, 2) | dict.fromkeys(STRICT, LIMIT)
 #: (host and path, verdict)
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 WORD = frozenset("0123456789abcdefghijklmnopqrstuvwxyz")
@@ -53,52 +65,64 @@ class RuleBook:
 
 
 class Vocabulary:
-    """Strict and soft terms in one automaton."""
-
-    def __init__(self, strict: Iterable[str], soft: Iterable[str]):
-        self.automaton = ahocorasick.Automaton()
-        for kind, terms in ((0, soft), (1, strict)):
-            for term in terms:
-                self.automaton.add_word(term, (term, kind))
-        self.automaton.make_automaton()
-
-    def hits(self, text: str) -> tuple[int, int]:
-        """Distinct strict and distinct soft terms of a lower-cased text."""
-        found = set()
-        for end, (term, kind) in self.automaton.iter(text):
+    """Weighted terms in one automaton."""
+
+    def __init__(self, terms: Mapping[str, int], limit: int):
+        self.automaton, self.limit = ahocorasick.Automaton(), limit
+        for term, weight in terms.items():
+            self.automaton.add_word(term, (term, weight))
+        if terms:
+            self.automaton.make_automaton()
+
+    def hits(self, text: str) -> tuple[int, int, int]:
+        """Of the distinct terms of a lower-cased text: strict ones, others, and the weight of all."""
+        found = {}
+        for end, (term, weight) in self.automaton.iter(text) if len(self.automaton) else ():
             start = end + 1 - len(term)
             if (start == 0 or text[start - 1] not in WORD) and (end + 1 == len(text) or text[end + 1] not in WORD):
-                found.add((term, kind))
-        strict = sum(kind for _, kind in found)
-        return strict, len(found) - strict
+                found[term] = weight
+        strict = sum(weight >= self.limit for weight in found.values())
+        return strict, len(found) - strict, sum(found.values())
 
 
-def filter_urls(pages: DataFrame, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT, rules=RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, strict_hits, soft_hits) of every row of pages(page_id, url).
+def read_vocabulary(table: DataFrame) -> dict[str, int]:
+    """The terms of a table(term, weight), lower-cased; one that repeats has its largest weight. It is collected, as
+    each task holds the automaton: a million terms at most."""
+    if table.count() > 1_000_000:
+        raise ValueError("more than a million terms")
+    out: dict[str, int] = {}
+    for term, weight in table.select("term", "weight").where("term is not null and term != '' and weight > 0").collect():
+        out[ascii_lower(term)] = max(weight, out.get(ascii_lower(term), 0))
+    return out
 
-    The longest rule that fits decides; else the vocabulary, over the whole url. A null url, or one without ://,
-    has an empty host and path; null has no hits and is allowed. Repeated rows are judged alike.
+
+def filter_urls(pages: DataFrame, vocabulary: Mapping[str, int] = VOCABULARY, limit: int = LIMIT, rules=RULES) -> DataFrame:
+    """(page_id, host, path, rule, verdict, strict_hits, soft_hits, weight) of every row of pages(page_id, url).
+
+    The longest rule that fits decides; else the vocabulary, over the whole url, however long. A null or empty url, or
+    one without ://, has an empty host and path; null has no hits and is allowed. Repeated rows, and rows that repeat a
+    page_id or have none, are judged each on its own; an empty table has no rows; other columns are ignored.
     """
 
     def scan(batches):
-        book, vocabulary = RuleBook(rules), Vocabulary(strict, soft)
+        book, known = RuleBook(rules), Vocabulary(vocabulary, limit)
         for batch in batches:
             out: list[tuple] = []
             for url in batch.column("url").to_pylist():
                 host, path = split_url(url)
-                n_strict, n_soft = vocabulary.hits(ascii_lower(url or ""))
-                rule, verdict = book.find(host, path) or (None, "block" if n_strict or n_soft >= soft_limit else "allow")
-                out.append((host, path, rule, verdict, n_strict, n_soft))
-            kinds = (pa.string(),) * 4 + (pa.int64(),) * 2
-            columns = zip(*out, strict=True) if out else [()] * 6
+                n_strict, n_soft, weight = known.hits(ascii_lower(url or ""))
+                rule, verdict = book.find(host, path) or (None, "block" if weight >= limit else "allow")
+                out.append((host, path, rule, verdict, n_strict, n_soft, weight))
+            kinds = (pa.string(),) * 4 + (pa.int64(),) * 3
+            columns = zip(*out, strict=True) if out else [()] * 7
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
-                names=["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits"],
+                names=["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "weight"],
             )
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "url").mapInArrow(
-        scan, f"page_id {kind}, host string, path string, rule string, verdict string, strict_hits long, soft_hits long"
+        scan, f"page_id {kind}, host string, path string, rule string, verdict string, strict_hits long, soft_hits long, weight long"
     )
 
 
@@ -125,8 +149,9 @@ WITH parts AS (
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
 ), found AS (
   SELECT *, CASE {" ".join(f"WHEN {_rule_sql(r)} THEN '{r}'" for r, _ in sorted(RULES, key=lambda x: -len(x[0])))} END AS rule,
-         {_hits_sql(STRICT)} AS strict_hits, {_hits_sql(SOFT)} AS soft_hits FROM cut
+         {_hits_sql(STRICT)} AS strict_hits, {_hits_sql(SOFT)} AS two, {_hits_sql(WEAK)} AS one FROM cut
+), weighed AS (SELECT *, two + one AS soft_hits, {LIMIT} * strict_hits + 2 * two + one AS weight FROM found
 )
 SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES)}
-         WHEN strict_hits > 0 OR soft_hits >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict, strict_hits, soft_hits FROM found
+         WHEN weight >= {LIMIT} THEN 'block' ELSE 'allow' END AS verdict, strict_hits, soft_hits, weight FROM weighed
 """
