@@ -36,7 +36,7 @@ END_ID = 1
 #: Tokens of a step group, and tokens that a chunk gathers before it is packed.
 STEP_TOKENS, CHUNK_TOKENS = 16 * 2048, 1 << 19
 #: Words, and stems, whose ids a task remembers.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 300_000
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -52,18 +52,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.stems = Tokenizer.from_file(path), {}, {}
+        self.again: set[bytes] = set()  # words met in a second block, of which there are far fewer
+        self.stems_again: set[bytes] = set()
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.stems) + len(new) > CACHED_WORDS:
-            self.stems = {}
         words, stems = list(new), []
         for word in words:
             lower = word.lower() if b"<|" not in word else word  # special tokens are found before lower-casing
             stem = lower.rstrip(b".,;:!?")
             stems.append(stem if stem and stem[-1] in ALNUM else lower)
         rests = [word[len(stem) :] for word, stem in zip(words, stems, strict=True)]
-        known = self.stems
-        unknown = [part for part in {*stems, *rests} if part not in known]
+        parts = {*stems, *rests}
+        unknown = parts.difference(self.stems)
+        self.stems_again |= parts.difference(unknown)
+        if len(self.stems) + len(unknown) > CACHED_WORDS:
+            self.stems, self.stems_again = kept(self.stems, self.stems_again)
+            unknown = parts.difference(self.stems)
+        known, unknown = self.stems, list(unknown)
         for at in range(0, len(unknown), 10_000):
             some = unknown[at : at + 10_000]
             encoded = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
@@ -73,9 +78,12 @@ class Encoder:
     def ids(self, raw: list[bytes | None]) -> list[np.ndarray]:
         lists = [t.split() if t else [] for t in raw]
         every = set(chain.from_iterable(lists))
-        if new := every.difference(self.words):
+        new = every.difference(self.words)
+        self.again |= every.difference(new)
+        if new:
             if len(self.words) + len(new) > CACHED_WORDS:
-                self.words, new = {}, every
+                self.words, self.again = kept(self.words, self.again)
+                new = every.difference(self.words)
             gc.disable()  # nothing here is cyclic, and there are many objects to trace
             try:
                 self._learn(new)
@@ -85,6 +93,13 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, words)) + end, dtype="<u4") for words in lists]
 
 
+def kept(known: dict[bytes, bytes], again: set[bytes]) -> tuple[dict[bytes, bytes], set[bytes]]:
+    """What a full memory keeps: words that have come again, if these are no more than half of it."""
+    if 2 * len(again) > CACHED_WORDS:
+        return {}, set()
+    return {word: known[word] for word in again if word in known}, again
+
+
 @lru_cache(1)
 def encoder(path: str) -> Encoder:
     """One for each Python worker, which keeps what it has learned from task to task."""
