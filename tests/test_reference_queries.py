@@ -304,3 +304,23 @@ def test_sizing():
     assert sizing.layer_geometry(100, 10, 3, 24)["growth"] == 3
     assert sizing.layered_file_bytes(sizing.layer_geometry(100, 10, 3, 3), 3) == 8 * -(-4 * 3 * 140 // 8) + 2 * 8 * -(-4 * 40 // 8) + 8
     assert sizing.sample_room(10**9, 128, 100, 1) == min(8388608, int(((1 << 30) - 2000) / (516 * 1.15)))
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "ip", "cosine"])
+def test_many_equal_vectors_go_by_id(spark, metric, monkeypatch):
+    monkeypatch.setattr(knn, "ROWS", 37)
+    monkeypatch.setattr(knn, "MOST_QUERIES", 3)
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(200, 5)).astype(np.float32)
+    points[rng.permutation(200)[:120]] = points[7]
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vec array<float>").repartition(5)
+    asked = spark.createDataFrame([(i, points[i].tolist()) for i in (0, 3, 7, 50, 90, 120, 150)], "qid long, qvec array<float>")
+    found: dict = {}
+    for r in sorted(knn.knn(vectors, asked, 12, metric).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r.qid, []).append(r.id)
+    for q, mine in found.items():
+        dist = knn._fine(points.astype(float), points[q].astype(float), metric)
+        assert mine == np.lexsort((np.arange(200), np.round(dist, 12)))[:12].tolist()
+    assert len(found) == 7 and knn.knn(vectors, asked.limit(0)).count() == 0 and knn.knn(vectors.limit(0), asked).count() == 0
+    with pytest.raises(Exception, match="differ in length"):
+        knn.knn(vectors, spark.createDataFrame([(1, [0.0, 1.0])], "qid long, qvec array<float>")).collect()

@@ -1,21 +1,26 @@
 """Exact nearest neighbours, recall and shard-wise search.
 
 Queries are a stated, small side: they are broadcast after their number is checked against `MOST_QUERIES`, else
-they are taken in blocks of that many. Each scan of the vectors keeps only the k best of each query in a
-partition before the shuffle, by the window's group limit.
+they are taken in blocks of that many. A scan of the vectors holds each batch against all queries by a matrix product
+and keeps what may be among the k best of the batch; of these, a few for each query and batch, the best remain, and their
+distances and order are computed again from the vectors in double precision. So two scans of the vectors are all that
+grows with them, and what is shuffled are candidates.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecspark.functions.distance import cosine_distance, inner_product, l2sq
 
-MOST_QUERIES = 10_000
+#: Queries that are broadcast at once, candidates beyond k, vectors of a matrix product, and what it may be off by.
+MOST_QUERIES, SPARE, ROWS, SLACK = 10_000, 8, 4096, 1e-9
 METRICS = {"l2sq": l2sq, "ip": lambda a, b: -inner_product(a, b), "cosine": cosine_distance}
 
 
@@ -30,14 +35,99 @@ def distances(vectors: DataFrame, queries: DataFrame, metric: str = "l2sq") -> D
     return vectors.crossJoin(F.broadcast(queries)).withColumn("dist", METRICS[metric](F.col("vec"), F.col("qvec"))).drop("vec", "qvec")
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2sq", where: Column | None = None) -> DataFrame:
-    """(qid, rank, id, dist): the k nearest vectors of each query, ties by id."""
-    n = queries.count()
-    blocks = -(-max(n, 1) // MOST_QUERIES)
-    parts = [queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [queries]
-    found = [distances(vectors, part, metric) for part in parts]
-    # the best of each block of queries first, so that blocks are not ranked as one
-    return reduce(DataFrame.unionByName, [top_k(p if where is None else p.where(where), k).select("qid", "rank", "id", "dist") for p in found])
+def _rough(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """The distances of all queries (rows) and vectors by a matrix product."""
+    dot = q @ x.T
+    if metric == "ip":
+        return -dot
+    if metric == "cosine":
+        return 1 - dot / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :])
+    return (q * q).sum(axis=1)[:, None] - 2 * dot + (x * x).sum(axis=1)[None, :]
+
+
+def _fine(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """The distances of one query, the same for equal vectors."""
+    if metric == "ip":
+        return -(x * q).sum(axis=1)
+    if metric == "cosine":
+        return 1 - (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
+    return ((x - q) ** 2).sum(axis=1)
+
+
+def best_rows(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, id and distance of the k + SPARE best vectors of each query, lower ids first where they are equal."""
+    rough, most = _rough(x, q, metric), min(k + SPARE, len(x))
+    edge = np.partition(rough, most - 1, axis=1)[:, most - 1]
+    edge = edge + SLACK * (np.abs(edge) + (x * x).sum(axis=1).max() + (q * q).sum(axis=1))
+    rows, near, far = [], [], []
+    for row in range(len(q)):
+        at = np.flatnonzero(~(rough[row] > edge[row]))
+        dist = _fine(x[at], q[row], metric)
+        order = np.lexsort((ids[at], dist))[:most]
+        rows.append(np.full(len(order), row))
+        near.append(ids[at[order]])
+        far.append(dist[order])
+    return np.concatenate(rows), np.concatenate(near), np.concatenate(far)
+
+
+def candidates(vectors: DataFrame, queries: DataFrame, k: int, metric: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, qid, id, dist): at least the k nearest of vectors(by, id, vec) in each group by `by`, with rough distances."""
+    rows = queries.select("qid", "qvec").collect()
+    dims = {len(r.qvec) for r in rows}
+    if len(dims) > 1:
+        raise ValueError("queries differ in length")
+    matrix = np.array([r.qvec for r in rows], np.float64).reshape(len(rows), max(dims, default=0))
+    small = vectors.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), matrix))
+    names = [*by, "qid", "id", "dist"]
+
+    def scan(batches):
+        qid, q = small.value
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(qid) else 0, ROWS):
+                some = batch.slice(at, ROWS)
+                vec = some.column("vec")
+                sizes = np.diff(np.asarray(vec.offsets))
+                if (sizes != q.shape[1]).any():
+                    raise ValueError("vectors differ in length")
+                x, ids = np.asarray(vec.flatten(), dtype=np.float64).reshape(len(sizes), -1), some.column("id").to_numpy()
+                groups = some.column(by[0]).to_numpy() if by else np.zeros(len(ids), np.int64)
+                for group in np.unique(groups):
+                    own = np.flatnonzero(groups == group)
+                    row, near, far = best_rows(x[own], ids[own], q, k, metric)
+                    first = [pa.array(np.full(len(row), group))] if by else []
+                    yield pa.RecordBatch.from_arrays([*first, pa.array(qid[row]), pa.array(near), pa.array(far)], names=names)
+
+    kinds = "".join(f"{c} {vectors.schema[c].dataType.simpleString()}, " for c in by)
+    found = vectors.select(*by, "id", "vec").mapInArrow(scan, f"{kinds}qid long, id long, dist double")
+    return top_k(found, k + SPARE, (*by, "qid")).drop("rank")
+
+
+def exact(found: DataFrame, vectors: DataFrame, queries: DataFrame, metric: str) -> DataFrame:
+    """found(qid, id, ...) with dist in double precision, element by element; found is a few rows for each query."""
+    met = vectors.select("id", "vec").join(F.broadcast(found), "id").join(F.broadcast(queries.select("qid", "qvec")), "qid")
+    return met.withColumn("dist", METRICS[metric](F.col("vec"), F.col("qvec"))).drop("vec", "qvec")
+
+
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """queries in blocks that can be broadcast."""
+    blocks = -(-max(queries.count(), 1) // MOST_QUERIES)
+    return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [queries]
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2sq", where: Column | None = None, match: Column | None = None) -> DataFrame:
+    """(qid, rank, id, dist): the k nearest vectors of each query, ties by id.
+
+    where: which vectors count. match: which pairs do, of columns of either side; all pairs are then measured.
+    """
+    base = vectors if where is None else vectors.where(where)
+    out = []
+    for part in query_blocks(queries):
+        if match is not None:
+            found = distances(base, part, metric).where(match)
+        else:
+            found = exact(candidates(base, part, k, metric).drop("dist"), base, part, metric)
+        out.append(top_k(found, k).select("qid", "rank", "id", "dist"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def by_ids(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
@@ -56,5 +146,8 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
 def shard_search(shards: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k best of each shard(shard, global_id), gathered to the k best of all; a vector in two shards counts once."""
     placed = shards.join(vectors, shards["global_id"] == vectors["id"]).select("shard", "id", "vec")
-    own = top_k(distances(placed, queries), k, ("qid", "shard"))
-    return top_k(own.select("qid", "id", "dist").distinct(), k).select("qid", "rank", "id", "dist")
+    out = []
+    for part in query_blocks(queries):
+        own = candidates(placed, part, k, "l2sq", ("shard",)).select("qid", "id").distinct()
+        out.append(top_k(exact(own, vectors, part, "l2sq"), k).select("qid", "rank", "id", "dist"))
+    return reduce(DataFrame.unionByName, out)

@@ -33,7 +33,10 @@ def best_first(vecs: np.ndarray, keys: np.ndarray, edges: dict[int, np.ndarray],
     """
 
     def far(at: np.ndarray) -> np.ndarray:
-        return ((vecs[at].astype(np.float64) - query) ** 2).sum(axis=1)
+        step = vecs[at]
+        step -= query
+        step *= step
+        return step.sum(axis=1)
 
     def entries(at: np.ndarray) -> list:
         return sorted(zip(far(at).tolist(), keys[at].tolist(), at.tolist(), strict=True))
@@ -57,7 +60,7 @@ def seeded_starts(n: int, pool: int, seed: int) -> np.ndarray:
 
 
 def _matrix(vec: pd.Series) -> np.ndarray:
-    return np.stack(vec.to_numpy())
+    return np.stack(vec.to_numpy()).astype(np.float64)
 
 
 def graph_search(vectors: DataFrame, edges: DataFrame, queries: DataFrame, k: int, pool: int, seed: int = 0, query_blocks: int = 8, translation: DataFrame | None = None) -> DataFrame:

@@ -167,7 +167,7 @@ QUERIES = {
     "knn_ip_topk": lambda s, d: knn.knn(vectors(s, d), asked(s, d), metric="ip"),
     "knn_cosine_topk": lambda s, d: rounded(knn.knn(vectors(s, d), asked(s, d), metric="cosine")),
     "knn_range_filter": lambda s, d: knn.knn(vectors(s, d), asked(s, d), where=F.col("id").between(100, 299)),
-    "knn_within_label": lambda s, d: knn.knn(vectors(s, d), vectors(s, d).where("id % 100 = 0").selectExpr("id AS qid", "vec AS qvec", "label AS qlabel"), where=F.col("label") == F.col("qlabel")),
+    "knn_within_label": lambda s, d: knn.knn(vectors(s, d), vectors(s, d).where("id % 100 = 0").selectExpr("id AS qid", "vec AS qvec", "label AS qlabel"), match=F.col("label") == F.col("qlabel")),
     "recall_at_k": lambda s, d: recall_of(knn.knn(vectors(s, d).where("id % 3 != 1"), asked(s, d)), s, d),
     "vectors_by_id": lambda s, d: knn.by_ids(vectors(s, d).select("id", "vec"), asked(s, d).select(F.col("qid").alias("id"))).select("id", F.posexplode("vec").alias("i", "x")).select("id", "i", F.col("x").cast("double").alias("x")),
     "shard_direct": blocks,
