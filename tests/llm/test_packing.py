@@ -66,3 +66,15 @@ def test_packer_keeps_every_token():
             assert not covered[doc] & set(range(start, start + n))
             covered[doc].update(range(start, start + n))
     assert [len(c) for c in covered] == lengths
+
+
+def test_step_groups_are_full_across_tasks(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(7)
+    windows: dict = {}
+    for r in pack(docs).select("step_id", "window", "sequence_id").distinct().collect():
+        windows.setdefault(r.window, {}).setdefault(r.step_id, set()).add(r.sequence_id)
+    for window, groups in windows.items():
+        sizes = sorted(map(len, groups.values()), reverse=True)
+        full = max(1, 16 * 2048 // window)
+        assert all(n == full for n in sizes[:-1]) and 1 <= sizes[-1] <= full
+    assert len(windows[2048]) > 1 and len({s for groups in windows.values() for s in groups}) == sum(map(len, windows.values()))

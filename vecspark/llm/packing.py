@@ -4,17 +4,19 @@ Documents are routed by what is left after their full windows: each remainder go
 window that holds it. Long windows are opened by their own tier and their gaps filled from shorter tiers, longest
 fitting piece first, at last by a cut piece; what the long tier leaves is packed into windows of its own tier in the
 same way. Pieces that no longer fill a window wait for the next chunk of documents, and a partition ends with
-windows at powers of two, so nothing is padded. Sequences of one window size are dealt into step groups of equal
-tokens.
+windows at powers of two, so nothing is padded. Sequences of one window size, of all tasks, are numbered on and dealt
+into step groups of equal tokens, so that for each window size all groups but the last are full.
 
-Each partition packs its own documents in chunks of bounded size, so nothing is shuffled and a lost task is redone
-from its input split alone; sequence ids start with the partition.
+Each partition packs its own documents in chunks of bounded size, so no text is shuffled and a lost task is redone
+from its input split alone; sequence ids start with the partition. Step groups need only how many sequences of a window
+size each task has made.
 """
 
 from __future__ import annotations
 
 import gc
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_right, insort
@@ -26,8 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from vecspark.llm.shared import load
+from vecspark.llm.shared import load, written
 from vecspark.llm.tokens import blocks, texts
 
 #: Windows from long to short; the longest is the sequence length.
@@ -35,69 +39,78 @@ TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 #: Tokens of a step group, and tokens that a chunk gathers before it is packed.
 STEP_TOKENS, CHUNK_TOKENS = 16 * 2048, 1 << 19
-#: Words, and stems, whose ids a task remembers.
-CACHED_WORDS = 300_000
+#: Words and stems whose ids a task remembers.
+CACHED_WORDS = 600_000
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+#: The characters that byte-level models write for bytes: printable ones of Latin-1 for themselves, others from U+0100 on.
+PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + at for at, b in enumerate(sorted(set(range(256)) - PRINTED))}
 
 
 class Encoder:
     """Ids of texts by a public tokenizer that lower-cases and drops white space, so that words encode by themselves.
 
     So do a stem that ends in an ASCII letter or digit and the punctuation after it, as the tokenizer splits there;
-    stems recur far more often than words. Both are remembered as the bytes of their ids.
+    stems recur far more often than words. Words and their parts are remembered as the bytes of their ids.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.stems = Tokenizer.from_file(path), {}, {}
-        self.again: set[bytes] = set()  # words met in a second block, of which there are far fewer
-        self.stems_again: set[bytes] = set()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)  # without what comes before it, of which runs of letters need nothing
+        self.known: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()  # words and parts met in a second block, of which there are far fewer
 
     def _learn(self, new: set[bytes]) -> None:
-        words, stems = list(new), []
-        for word in words:
-            lower = word.lower() if b"<|" not in word else word  # special tokens are found before lower-casing
-            stem = lower.rstrip(b".,;:!?")
-            stems.append(stem if stem and stem[-1] in ALNUM else lower)
-        rests = [word[len(stem) :] for word, stem in zip(words, stems, strict=True)]
+        runs = list(filter(LETTERS, new))
+        words = list(new.difference(runs))
+        joined = b"\n".join(words)
+        lowered = joined.lower().split(b"\n") if words else []
+        if b"<|" in joined:  # special tokens are found before lower-casing
+            lowered = [old if b"<|" in old else low for old, low in zip(words, lowered, strict=True)]
+        stems = [stem if (stem := word.rstrip(b".,;:!?")) and stem[-1] in ALNUM else word for word in lowered]
+        rests = [word[len(stem) :] for word, stem in zip(lowered, stems, strict=True)]
         parts = {*stems, *rests}
-        unknown = parts.difference(self.stems)
-        self.stems_again |= parts.difference(unknown)
-        if len(self.stems) + len(unknown) > CACHED_WORDS:
-            self.stems, self.stems_again = kept(self.stems, self.stems_again)
-            unknown = parts.difference(self.stems)
-        known, unknown = self.stems, list(unknown)
-        for at in range(0, len(unknown), 10_000):
-            some = unknown[at : at + 10_000]
-            encoded = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
-            known.update(zip(some, [array("I", x.ids).tobytes() for x in encoded], strict=True))
-        self.words.update(zip(words, [known[a] + known[b] for a, b in zip(stems, rests, strict=True)], strict=True))
+        unknown = parts.difference(self.known, runs)
+        self.again |= parts.difference(unknown, runs)
+        more = list(filter(LETTERS, unknown))
+        runs += more
+        for some, tokenizer, said in ((runs, self.model, letters), (list(unknown.difference(more)), self.tokenizer, bytes.decode)):
+            for at in range(0, len(some), 10_000):
+                those = some[at : at + 10_000]
+                encoded = tokenizer.encode_batch_fast(list(map(said, those)), add_special_tokens=False)
+                self.known.update(zip(those, [array("I", x.ids).tobytes() for x in encoded], strict=True))
+        known = self.known
+        known.update(zip(words, [known[a] + known[b] if b else known[a] for a, b in zip(stems, rests, strict=True)], strict=True))
 
     def ids(self, raw: list[bytes | None]) -> list[np.ndarray]:
         lists = [t.split() if t else [] for t in raw]
         every = set(chain.from_iterable(lists))
-        new = every.difference(self.words)
+        new = every.difference(self.known)
         self.again |= every.difference(new)
         if new:
-            if len(self.words) + len(new) > CACHED_WORDS:
-                self.words, self.again = kept(self.words, self.again)
-                new = every.difference(self.words)
+            if len(self.known) + 2 * len(new) > CACHED_WORDS:  # words that come again are kept, if they leave room
+                self.again = self.again if 2 * len(self.again) < CACHED_WORDS else set()
+                self.known = {word: self.known[word] for word in self.again}
+                new = every.difference(self.known)
             gc.disable()  # nothing here is cyclic, and there are many objects to trace
             try:
                 self._learn(new)
             finally:
                 gc.enable()
-        get, end = self.words.__getitem__, np.array([END_ID], dtype="<u4").tobytes()
+        get, end = self.known.__getitem__, np.array([END_ID], dtype="<u4").tobytes()
         return [np.frombuffer(b"".join(map(get, words)) + end, dtype="<u4") for words in lists]
 
 
-def kept(known: dict[bytes, bytes], again: set[bytes]) -> tuple[dict[bytes, bytes], set[bytes]]:
-    """What a full memory keeps: words that have come again, if these are no more than half of it."""
-    if 2 * len(again) > CACHED_WORDS:
-        return {}, set()
-    return {word: known[word] for word in again if word in known}, again
+#: Whether a part is one run of the lower-case letters of Latin-1, which the tokenizer's model takes as it is.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+
+
+def letters(part: bytes) -> str:
+    """A part in the alphabet of bytes that the model merges."""
+    return part.decode() if part.isascii() else part.decode("latin-1").translate(BYTE_LETTERS)
 
 
 @lru_cache(1)
@@ -177,7 +190,7 @@ class Packer:
 
 
 SCHEMA = (
-    "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_id long"
+    "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, _task long, _place long"
 )
 
 
@@ -185,8 +198,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window, step_id), a row for each piece.
 
     tokenizer: the path of a tokenizers file that drops white space; word_bpe_49k by default. A null or empty text
-    has the end id alone. Every row of docs is a document of its own, also where ids repeat or are null. step_id
-    names the step group among sequences of one window.
+    has the end id alone; a very long one is cut into many sequences. Every row of docs is a document of its own, also
+    where ids repeat or are null. An empty table has no pieces; other columns are ignored. step_id names the step group:
+    STEP_TOKENS in sequences of one window.
     """
     if tokenizer is None:
         import public_tokenizers
@@ -204,18 +218,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
             nonlocal count
             rows = []
             for window, pieces in sequences:
-                step = in_tier[window] = in_tier.get(window, -1) + 1
+                place = in_tier[window] = in_tier.get(window, -1) + 1
                 offset = 0
                 for doc, start, n in pieces:
                     doc_id, ids = held[doc]
                     crc = zlib.crc32(ids[start : start + n].tobytes())
-                    rows.append((doc_id, start, n, crc, len(ids), base + count, offset, window, base + step // max(1, STEP_TOKENS // window)))
+                    rows.append((doc_id, start, n, crc, len(ids), base + count, offset, window, base >> 32, place))
                     offset += n
                 count += 1
             waiting = {doc for pool in packer.pools.values() for _, doc, _ in pool}
             for doc in held.keys() - waiting:
                 del held[doc]
-            columns = list(zip(*rows, strict=True)) or [()] * 9
+            columns = list(zip(*rows, strict=True)) or [()] * 10
             return pa.RecordBatch.from_arrays([pa.array(columns[0], arrow), *(pa.array(c, pa.int64()) for c in columns[1:])], names=names)
 
         names = ["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))]
@@ -232,7 +246,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
         if serial:
             yield out([*made, *packer.finish()])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, {SCHEMA}")
+    return in_step_groups(written(docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, {SCHEMA}"), "pieces"))
+
+
+def in_step_groups(pieces: DataFrame) -> DataFrame:
+    """Written pieces with step_id in place of _task and _place, the task that made a sequence and its number there
+    among those of its window."""
+    made = pieces.where("offset = 0").groupBy("window", "_task").agg(F.count("*").alias("_made"))
+    earlier = W.partitionBy("window").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    before = made.select("window", "_task", F.coalesce(F.sum("_made").over(earlier), F.lit(0)).alias("_before"))
+    size = F.greatest(F.lit(1), F.floor(STEP_TOKENS / F.col("window")))
+    step = F.shiftleft(F.col("window"), 40) + F.floor((F.col("_before") + F.col("_place")) / size)
+    return pieces.join(before, ["window", "_task"]).withColumn("step_id", step).select("doc_id", *(x.split()[0] for x in SCHEMA.split(", ")[:-2]), "step_id")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
