@@ -62,3 +62,18 @@ def test_heavy_lists_in_chunks(spark, monkeypatch):
             rows.append((len(rows), " ".join(v[: rng.randrange(len(v) - 5, len(v))])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert rows_of(similar_groups(docs, 3, 90)) == brute.jaccard_groups(rows, 3, 90)
+
+
+def test_heavy_lists_of_many_sizes(spark, monkeypatch):
+    """Beginnings of one text: all share shingles, and only those of like lengths link."""
+    import vecspark.llm.jaccard_join as join
+
+    monkeypatch.setattr(join, "LIGHT_LIST", 2)
+    monkeypatch.setattr(join, "CHUNK", 3)
+    rng = random.Random(2)
+    w = [f"w{i}" for i in range(400)]
+    lengths = [rng.choice([*range(20, 60), *range(100, 130), *range(200, 390)]) for _ in range(90)]
+    rows = [(i, " ".join([*w[:n], *([f"x{i}", f"y{i}"] if i % 3 else [])])) for i, n in enumerate(lengths)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 90, 100):
+        assert rows_of(similar_groups(docs, 3, percent)) == brute.jaccard_groups(rows, 3, percent)

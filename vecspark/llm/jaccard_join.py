@@ -15,12 +15,14 @@ lists get: any order gives every link.
 What is asked for is which documents hang together, so within a list only pairs that can still join two groups
 are checked: first each member against the list's smallest document, then, where members of one list lie in
 different components, every pair across these. Links between documents that already hang together add nothing.
-Of a light list these pairs become rows. A heavy one is cut into chunks, and each two chunks meet in one task that
-compares the sketches in memory and returns the few pairs left, so no list makes rows as its square.
+Of a light list these pairs become rows. A heavy one is cut into chunks of sets of like sizes, and each two chunks that
+may hold links meet in one task that compares the sketches in memory and returns the few pairs left, so no list makes
+rows as its square.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from itertools import combinations
 from math import comb
@@ -207,14 +209,31 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(check, "a long, b long").distinct()
 
 
+def size_band(percent: int):
+    """A number for the size n of a set, such that sets that are similar enough are of one band or of two next ones.
+
+    Bands are a little wider than the similarity allows, so that no rounding can part two sizes further.
+    """
+    return F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent * (1 + 1e-6))) if percent < 100 else F.col("n")
+
+
 def heavy_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs (a, b) across components of lists(key, id, n, component, c), c being the list's length."""
-    chunks = F.ceil(F.col("c") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("id"), chunks).cast("int")
+    """Plausible pairs (a, b) across components of lists(key, id, n, component).
+
+    Each band of sizes of a list is cut into chunks, and a chunk meets those of its own band and of the next. So a
+    member goes to as many cells as these bands have chunks, rather than all of the list.
+    """
+    banded = lists.join(nodes.select(F.col("doc_id").alias("id"), "sketch"), "id").withColumn("band", size_band(percent).cast("long"))
+    parts = banded.groupBy("key", "band").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("parts"))
+    near = parts.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    # for each band of a list: the bands it meets and their chunks
+    near = near.select("key", (F.col("band") + F.col("step")).alias("band"), F.struct(F.col("band").alias("of"), "parts").alias("x")).groupBy("key", "band").agg(F.collect_list("x").alias("near"))
+    own_parts = F.filter("near", lambda x: x["of"] == F.col("band"))[0]["parts"]
+    chunk = lambda band, i: F.shiftleft(band, 32) + i
     cells = (
-        lists.join(nodes.select(F.col("doc_id").alias("id"), "sketch"), "id")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        banded.join(near, ["key", "band"])
+        .withColumn("own", chunk(F.col("band"), F.pmod(F.xxhash64("id"), own_parts)))
+        .withColumn("other", F.explode(F.flatten(F.transform("near", lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["parts"] - 1), lambda i: chunk(x["of"], i))))))
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "component", "sketch")
     )
 
