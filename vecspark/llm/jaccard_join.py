@@ -60,8 +60,11 @@ def prefix_length(n: int, percent: int) -> int:
 def boundary(percent: int, list_cost: int) -> int:
     """The largest size up to which enumerating costs no more than posting and scanning.
 
-    The cost of either is a sum over sets, so the best boundary does not depend on how many sets have a size.
+    The cost of either is a sum over sets, so the best boundary does not depend on how many sets have a size. Equal sets
+    have one subset to list, the set itself, whatever its size.
     """
+    if percent >= 100:
+        return 1 << 40
     n = 0
     while sum(comb(n + 1, c) for c in range(least_overlap(n + 1, percent), n + 2)) <= list_cost * prefix_length(n + 1, percent):
         n += 1

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecspark.llm.shared import SHUFFLE_CLEANUP, load, work_dir
+from vecspark.llm.shared import WRITING, load, settings, work_dir
 
 #: Documents of an arrival, bytes of text that a merged shard aims at, and what parts tiers.
 ARRIVAL_ROWS, TARGET_BYTES, FANOUT, SMALLEST_TIER = 1000, 32 << 20, 4, 64 << 10
@@ -49,13 +49,9 @@ class ShardStore:
 
     def _write(self, df: DataFrame, name: str, parts: str | None = None) -> None:
         """df as Parquet below the root; its shuffle files go when it ends."""
-        before = self.spark.conf.get(SHUFFLE_CLEANUP, None)
-        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
-        try:
+        with settings(self.spark, WRITING):
             writer = df.write.option("compression", "zstd")
             (writer.partitionBy(parts) if parts else writer).parquet(f"{self.root}/{name}")
-        finally:
-            self.spark.conf.set(SHUFFLE_CLEANUP, before) if before is not None else self.spark.conf.unset(SHUFFLE_CLEANUP)
 
     def versions(self) -> list[int]:
         return sorted(int(n[1:]) for n in self._names("versions") if n.startswith("v"))
