@@ -31,7 +31,7 @@ from vecspark.llm.suffix_automaton import SuffixAutomaton
 from vecspark.llm.tokens import Words, blocks, mixed, ragged, rolled, texts
 
 #: Words of a gram that can be an anchor; occurrences from which an anchor's shard is cut.
-GRAM, HEAVY = 6, 1000
+GRAM, HEAVY = 6, 500
 #: From where documents without an id are numbered, by their texts; ids are below it.
 FIRST_UNNAMED = 2**62
 
