@@ -42,9 +42,10 @@ STEP_TOKENS, CHUNK_TOKENS = 16 * 2048, 1 << 19
 #: Words and stems whose ids a task remembers.
 CACHED_WORDS = 600_000
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
-#: The characters that byte-level models write for bytes: printable ones of Latin-1 for themselves, others from U+0100 on.
-PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
-BYTE_LETTERS = {b: 256 + at for at, b in enumerate(sorted(set(range(256)) - PRINTED))}
+#: The characters that byte-level models write for the bytes of these letters which Latin-1 doesn't print.
+BYTE_LETTERS = {"\x9f": "\u0141", "\xa0": "\u0142", "\xad": "\u0143"}
+#: Upper-case letters of Latin-1 beyond ASCII, which all stand 32 below their lower-case forms.
+UPPER = re.compile(rb"\xc3([\x80-\x96\x98-\x9e])")
 
 
 class Encoder:
@@ -56,45 +57,54 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.tokenizer.model)  # without what comes before it, of which runs of letters need nothing
+        # without what comes before the model, of which runs of letters need nothing but to be kept apart
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        closing = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
+        self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if closing and piece.endswith(closing)]] = True
+        self.letters = LETTERS if closing else lambda part: None
         self.known: dict[bytes, bytes] = {}
-        self.again: set[bytes] = set()  # words and parts met in a second block, of which there are far fewer
 
     def _learn(self, new: set[bytes]) -> None:
-        runs = list(filter(LETTERS, new))
+        runs = list(filter(self.letters, new))
         words = list(new.difference(runs))
         joined = b"\n".join(words)
-        lowered = joined.lower().split(b"\n") if words else []
+        lowered = UPPER.sub(lambda m: b"\xc3" + bytes([m[1][0] + 32]), joined.lower()).split(b"\n") if words else []
         if b"<|" in joined:  # special tokens are found before lower-casing
             lowered = [old if b"<|" in old else low for old, low in zip(words, lowered, strict=True)]
         stems = [stem if (stem := word.rstrip(b".,;:!?")) and stem[-1] in ALNUM else word for word in lowered]
         rests = [word[len(stem) :] for word, stem in zip(lowered, stems, strict=True)]
-        parts = {*stems, *rests}
-        unknown = parts.difference(self.known, runs)
-        self.again |= parts.difference(unknown, runs)
-        more = list(filter(LETTERS, unknown))
+        unknown = {*stems, *rests}.difference(self.known, runs)
+        more = list(filter(self.letters, unknown))
         runs += more
-        for some, tokenizer, said in ((runs, self.model, letters), (list(unknown.difference(more)), self.tokenizer, bytes.decode)):
-            for at in range(0, len(some), 10_000):
-                those = some[at : at + 10_000]
-                encoded = tokenizer.encode_batch_fast(list(map(said, those)), add_special_tokens=False)
-                self.known.update(zip(those, [array("I", x.ids).tobytes() for x in encoded], strict=True))
+        self.known.update(zip(runs, self._runs(runs), strict=True))
+        others = list(unknown.difference(more))
+        for at in range(0, len(others), 10_000):
+            those = others[at : at + 10_000]
+            encoded = self.tokenizer.encode_batch_fast(list(map(bytes.decode, those)), add_special_tokens=False)
+            self.known.update(zip(those, [array("I", x.ids).tobytes() for x in encoded], strict=True))
         known = self.known
         known.update(zip(words, [known[a] + known[b] if b else known[a] for a, b in zip(stems, rests, strict=True)], strict=True))
 
+    def _runs(self, runs: list[bytes]) -> Iterator[bytes]:
+        """The ids of runs of letters, many in one text: each ends with an id that ends a word."""
+        lines = [letters(b" ".join(runs[at : at + 1000])) for at in range(0, len(runs), 1000)]
+        for encoded in self.model.encode_batch_fast(lines, add_special_tokens=False):
+            ids = np.array(encoded.ids, dtype="<u4")
+            stop, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+            yield from [raw[a:b] for a, b in zip([0, *stop], stop, strict=False)]
+
     def ids(self, raw: list[bytes | None]) -> list[np.ndarray]:
         lists = [t.split() if t else [] for t in raw]
         every = set(chain.from_iterable(lists))
         new = every.difference(self.known)
-        self.again |= every.difference(new)
         if new:
-            if len(self.known) + 2 * len(new) > CACHED_WORDS:  # words that come again are kept, if they leave room
-                self.again = self.again if 2 * len(self.again) < CACHED_WORDS else set()
-                self.known = {word: self.known[word] for word in self.again}
-                new = every.difference(self.known)
+            if len(self.known) + 2 * len(new) > CACHED_WORDS:  # those that come again now are kept
+                self.known = {word: self.known[word] for word in every.difference(new)}
             gc.disable()  # nothing here is cyclic, and there are many objects to trace
             try:
                 self._learn(new)
@@ -108,9 +118,14 @@ class Encoder:
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
 
-def letters(part: bytes) -> str:
-    """A part in the alphabet of bytes that the model merges."""
-    return part.decode() if part.isascii() else part.decode("latin-1").translate(BYTE_LETTERS)
+def letters(line: bytes) -> str:
+    """Runs of letters and the spaces between them in the alphabet of bytes that the model merges."""
+    if line.isascii():
+        return line.decode()
+    out = line.decode("latin-1")
+    for byte, letter in BYTE_LETTERS.items():
+        out = out.replace(byte, letter)
+    return out
 
 
 @lru_cache(1)
