@@ -238,6 +238,11 @@ def edges_by_node(edges: DataFrame) -> DataFrame:
     return rows.select("src", F.transform("n", lambda x: x.dst).alias("nbrs"))
 
 
+def in_ranges(edges: DataFrame, parts: int) -> DataFrame:
+    """edges(src, ...) in partitions of consecutive nodes, sorted within each: what files of a range are written from."""
+    return edges.repartitionByRange(parts, "src").sortWithinPartitions("src", *[c for c in ("pos", "dst") if c in edges.columns])
+
+
 def degree_stats(merged: DataFrame) -> DataFrame:
     """One row: nodes, edges and degrees."""
     return merged.groupBy("src").count().agg(

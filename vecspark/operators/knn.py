@@ -135,6 +135,13 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_semi")
 
 
+def valid(found: DataFrame, n: int) -> DataFrame:
+    """The results whose ids are among n vectors, ranked anew: an index may name points that the data doesn't have."""
+    order = W.partitionBy("qid").orderBy("rank")
+    kept = found.where((F.col("id") >= 0) & (F.col("id") < n))
+    return kept.withColumn("rank", F.row_number().over(order).cast("long"))
+
+
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: mean percentage of each query's true ids that were found. Queries without true ids don't count."""
     hits = truth.join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left").groupBy("qid").agg(

@@ -166,6 +166,7 @@ ORACLES = {
       t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM d) WHERE rank <= 10),
       f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM d WHERE id % 3 != 1) WHERE rank <= 10)
       SELECT count(*) AS n_queries, round(avg(r), 6) AS recall FROM (SELECT qid, 100.0::DOUBLE * count(f.id) / count(*) AS r FROM t LEFT JOIN f USING (qid, id) GROUP BY qid)""",
+    "valid_results": f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank, id, dist FROM ({knn_sql(top=15)}) WHERE id < 300",
     "vectors_by_id": f"WITH {V} SELECT qid AS id, unnest(range(0, len(qvec)))::INT AS i, unnest(qvec)::DOUBLE AS x FROM q",
     "shard_direct": f"SELECT vec_id // {SHARD} AS shard, vec_id % {SHARD} AS local_id, vec_id AS global_id FROM embeddings",
     "shard_direct_sizes": f"SELECT vec_id // {SHARD} AS shard, count(*) AS n FROM embeddings GROUP BY 1",
@@ -198,6 +199,7 @@ ORACLES = {
       SELECT * FROM (SELECT shard, local_id, row_number() OVER (PARTITION BY shard, local_id ORDER BY n, pos) - 1 AS pos, nbr_local FROM counted) WHERE pos < {DEGREE}""",
     "graph_random": f"WITH {V}, {DIRECT}, s AS (SELECT shard, count(*) AS n FROM p GROUP BY shard) SELECT shard, local_id, pos, floor({share(chr(39) + '0' + chr(39), 'shard::VARCHAR', 'local_id::VARCHAR', 'pos::VARCHAR')} * n)::BIGINT AS nbr_local FROM p JOIN s USING (shard), (SELECT unnest(range({DEGREE})) AS pos)",
     "graph_remap": f"WITH {V}, {G} SELECT src, dst FROM e",
+    "graph_ranges": f"WITH {V}, {G} SELECT src, dst FROM e",
     "graph_union": f"WITH {V}, {G} SELECT DISTINCT src, dst FROM e",
     "graph_merge_variable": f"WITH {V}, {G} SELECT * FROM m",
     "graph_merge_overlapping": f"WITH {V}, {GO} SELECT * FROM m",

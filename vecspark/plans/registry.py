@@ -169,6 +169,7 @@ QUERIES = {
     "knn_range_filter": lambda s, d: knn.knn(vectors(s, d), asked(s, d), where=F.col("id").between(100, 299)),
     "knn_within_label": lambda s, d: knn.knn(vectors(s, d), vectors(s, d).where("id % 100 = 0").selectExpr("id AS qid", "vec AS qvec", "label AS qlabel"), match=F.col("label") == F.col("qlabel")),
     "recall_at_k": lambda s, d: recall_of(knn.knn(vectors(s, d).where("id % 3 != 1"), asked(s, d)), s, d),
+    "valid_results": lambda s, d: knn.valid(knn.knn(vectors(s, d), asked(s, d), 15), 300),
     "vectors_by_id": lambda s, d: knn.by_ids(vectors(s, d).select("id", "vec"), asked(s, d).select(F.col("qid").alias("id"))).select("id", F.posexplode("vec").alias("i", "x")).select("id", "i", F.col("x").cast("double").alias("x")),
     "shard_direct": blocks,
     "shard_direct_sizes": lambda s, d: blocks(s, d).groupBy("shard").agg(F.count("*").alias("n")),
@@ -200,6 +201,7 @@ QUERIES = {
     "graph_descent": lambda s, d: graph.descent_graph(sharding.direct(vectors(s, d), 250), vectors(s, d), DEGREE, 4),
     "graph_random": lambda s, d: graph.random_graph(blocks(s, d), DEGREE),
     "graph_remap": global_edges,
+    "graph_ranges": lambda s, d: graph.in_ranges(global_edges(s, d), 5),
     "graph_union": lambda s, d: graph.union_edges(global_edges(s, d)),
     "graph_merge_variable": lambda s, d: graph.merge(global_edges(s, d), MERGED),
     "graph_merge_overlapping": merged,
