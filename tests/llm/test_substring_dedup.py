@@ -30,6 +30,7 @@ def test_fixture_matches_dictionary(spark, sf_dir):
 @pytest.mark.parametrize("heavy", [1000, 2])
 def test_shared_passages_and_periodic_texts(spark, monkeypatch, heavy):
     monkeypatch.setattr(dedup, "HEAVY", heavy)
+    monkeypatch.setattr(dedup, "MOST_SENT", heavy * 3)
     rng = random.Random(heavy)
     passages = [[f"p{p}x{rng.randrange(9)}" for _ in range(rng.randrange(15, 70))] for p in range(4)]
     rows = []

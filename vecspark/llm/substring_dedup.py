@@ -32,6 +32,8 @@ from vecspark.llm.tokens import Words, blocks, mixed, ragged, rolled, texts
 
 #: Words of a gram that can be an anchor; occurrences from which an anchor's shard is cut.
 GRAM, HEAVY = 6, 500
+#: Fragments that a task gathers before it sends them.
+MOST_SENT = 30_000
 #: From where documents without an id are numbered, by their texts; ids are below it.
 FIRST_UNNAMED = 2**62
 
@@ -111,9 +113,21 @@ def _marked(block: pa.RecordBatch, words: Words, window: int, gram: int) -> Iter
 def sent(met: DataFrame, window: int, gram: int) -> DataFrame:
     """(anchor, heavy, doc_id, start, fragment) of met(doc_id, text, hot): what may repeat, equal ones once a block.
 
-    A heavy anchor's fragments are cut into single windows.
+    A heavy anchor's fragments are cut into single windows. What has been gathered is sent when it is MOST_SENT.
     """
 
+    def gathered(first: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in first], pa.int64()),
+                pa.array([k[1] for k in first], pa.bool_()),
+                pa.array([v[0] for v in first.values()], pa.int64()),
+                pa.array([v[1] for v in first.values()], pa.int64()),
+                pa.array([k[2] for k in first], pa.large_binary()).cast(pa.binary()),
+            ],
+            names=["anchor", "heavy", "doc_id", "start", "fragment"],
+        )
+
     def scan(batches):
         for batch in batches:
             for block in blocks(batch):
@@ -125,17 +139,11 @@ def sent(met: DataFrame, window: int, gram: int) -> DataFrame:
                         key, where = (anchor, heavy, b" ".join(own[at : at + n + window - 1])), (ids[row], at)
                         if key not in first or where < first[key]:
                             first[key] = where
+                    if len(first) >= MOST_SENT:
+                        yield gathered(first)
+                        first = {}
                 if first:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([k[0] for k in first], pa.int64()),
-                            pa.array([k[1] for k in first], pa.bool_()),
-                            pa.array([v[0] for v in first.values()], pa.int64()),
-                            pa.array([v[1] for v in first.values()], pa.int64()),
-                            pa.array([k[2] for k in first], pa.large_binary()).cast(pa.binary()),
-                        ],
-                        names=["anchor", "heavy", "doc_id", "start", "fragment"],
-                    )
+                    yield gathered(first)
 
     return met.select("doc_id", "text", "hot").mapInArrow(scan, "anchor long, heavy boolean, doc_id long, start long, fragment binary")
 
