@@ -180,7 +180,7 @@ def test_layered_files(spark, tmp_path):
     base = some_vectors(spark, 100)
     sizes = layer_geometry(100, 10, 3, 3)["sizes"]
     made = layers.layered_graph(sharding.direct(base, 100), base, sizes, 3).cache()
-    path = str(tmp_path / "part_0.ggnn")
+    path = str(tmp_path / "part_0.graph")
     graphs.write_layered_graph(made, path, 100, 10, 3, 3)
     raw = np.frombuffer(open(path, "rb").read(), "<u4")
     by = {(r.layer, r.local): r for r in made.collect()}
@@ -273,7 +273,7 @@ def test_layered_and_other_commands(spark, smoke, capsys):
     made = layers.layered_graph(sharding.direct(base, 500), base, sizes, 8).cache()
     for shard in (0, 1):
         own = made.where(made["shard"] == shard).withColumn("base_id", made["base_id"] - 500 * shard)
-        graphs.write_layered_graph(own, str(smoke / f"part_{shard}.ggnn"), 500, 16, 3, 8)
+        graphs.write_layered_graph(own, str(smoke / f"part_{shard}.graph"), 500, 16, 3, 8)
     asked = ["--data", smoke / "base.u8bin", "--query", smoke / "query.u8bin", "--truth", smoke / "truth.ibin", "--k", 10]
     found = run(spark, capsys, "search-layered", *asked, "--index-dir", smoke, "--shard-size", 500, "--degree", 8, "--layers", 3, "--segment-size", 16, "--pool", 100)
     assert found["recall"] >= 85

@@ -144,7 +144,7 @@ def search_layered(spark: SparkSession, a) -> dict:
     n, rows = base.count(), None
     for shard, first in enumerate(range(0, n, a.shard_size)):
         own = min(a.shard_size, n - first)
-        read = graphs.read_layered_graph(spark, f"{a.index_dir}/part_{shard}.ggnn", own, a.segment_size, a.layers, a.degree)
+        read = graphs.read_layered_graph(spark, f"{a.index_dir}/{a.pattern.format(shard)}", own, a.segment_size, a.layers, a.degree)
         read = read.select(F.lit(shard).cast("long").alias("shard"), "layer", "local", (F.col("base_id") + first).alias("base_id"), "nbrs")
         rows = read if rows is None else rows.unionByName(read)
     began = time.time()
@@ -176,7 +176,7 @@ COMMANDS = {
     "pipelined-merge": (pipelined_merge, [("--base-folder", str), ("--index-name", str), ("--degree", int), ("--nshards", int)]),
     "search": (search_merged, [*SEARCH, ("--index", str), ("--variable", bool, False), ("--use-disk", bool, False)]),
     "search-shards": (search_shards, [*SEARCH, ("--index-dir", str), ("--index-name", str)]),
-    "search-layered": (search_layered, [*SEARCH, ("--index-dir", str), ("--shard-size", int), ("--degree", int), ("--layers", int, 4), ("--segment-size", int, 32)]),
+    "search-layered": (search_layered, [*SEARCH, ("--index-dir", str), ("--shard-size", int), ("--degree", int), ("--layers", int, 4), ("--segment-size", int, 32), ("--pattern", str, "part_{}.graph")]),
     "convert": (convert, [("--source", str), ("--target", str), ("--rows", int, 0), ("--shuffle", bool, False)]),
 }
 
