@@ -78,3 +78,15 @@ def test_step_groups_are_full_across_tasks(spark, sf_dir):
         full = max(1, 16 * 2048 // window)
         assert all(n == full for n in sizes[:-1]) and 1 <= sizes[-1] <= full
     assert len(windows[2048]) > 1 and len({s for groups in windows.values() for s in groups}) == sum(map(len, windows.values()))
+
+
+def test_a_full_memory_changes_nothing(monkeypatch):
+    import vecspark.llm.packing as packing
+
+    rng = random.Random(6)
+    blocks = [[" ".join(f"{rng.choice('aeiou')}w{rng.randrange(400)}É{rng.choice(['', '.', 'x'])}" for _ in range(60)).encode() for _ in range(3)] for _ in range(12)]
+    wanted = [[x.tolist() for x in Encoder(PATH).ids(block)] for block in blocks]
+    for most in (0, 300, 900):
+        monkeypatch.setattr(packing, "CACHED_WORDS", most)
+        encoder = Encoder(PATH)
+        assert [[x.tolist() for x in encoder.ids(block)] for block in blocks] == wanted

@@ -20,6 +20,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_right, insort
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -39,8 +40,8 @@ TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 #: Tokens of a step group, and tokens that a chunk gathers before it is packed.
 STEP_TOKENS, CHUNK_TOKENS = 16 * 2048, 1 << 19
-#: Words and stems whose ids a task remembers.
-CACHED_WORDS = 600_000
+#: Words and stems whose ids a task remembers, and the blocks whose words it keeps when these are too many.
+CACHED_WORDS, RECENT = 700_000, 5
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 #: The characters that byte-level models write for the bytes of these letters which Latin-1 doesn't print.
 BYTE_LETTERS = {"\x9f": "\u0141", "\xa0": "\u0142", "\xad": "\u0143"}
@@ -68,6 +69,7 @@ class Encoder:
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if closing and piece.endswith(closing)]] = True
         self.letters = LETTERS if closing else lambda part: None
         self.known: dict[bytes, bytes] = {}
+        self.recent: deque[set[bytes]] = deque(maxlen=RECENT)
 
     def _learn(self, new: set[bytes]) -> None:
         runs = list(filter(self.letters, new))
@@ -103,13 +105,16 @@ class Encoder:
         every = set(chain.from_iterable(lists))
         new = every.difference(self.known)
         if new:
-            if len(self.known) + 2 * len(new) > CACHED_WORDS:  # those that come again now are kept
-                self.known = {word: self.known[word] for word in every.difference(new)}
+            if len(self.known) + 2 * len(new) > CACHED_WORDS:  # the words of the last blocks are kept, if they leave room
+                recent = every.union(*self.recent) if 2 * sum(map(len, self.recent)) < CACHED_WORDS * 3 else every
+                self.known = {word: self.known[word] for word in recent if word in self.known}
+                new = every.difference(self.known)
             gc.disable()  # nothing here is cyclic, and there are many objects to trace
             try:
                 self._learn(new)
             finally:
                 gc.enable()
+        self.recent.append(every)
         get, end = self.known.__getitem__, np.array([END_ID], dtype="<u4").tobytes()
         return [np.frombuffer(b"".join(map(get, words)) + end, dtype="<u4") for words in lists]
 
